@@ -29,6 +29,7 @@ def _lut() -> np.ndarray:
 
 _LUT = _lut()
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_ALL = _BYTE.copy()
 _BYTE[0] = 0
 _SHINGLE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
