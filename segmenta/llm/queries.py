@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import chat, decontamination, mixing, simhash
+from segmenta.llm import binary, chat, counts, decontamination, langid, minhash, mixing, secrets, simhash, toxicity
 from segmenta.llm.common import table
 
 
@@ -26,14 +26,34 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.write_ids(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_decontamination": op1_decontamination,
-        "op2_mixing": op2_mixing,
-        "op3_simhash": op3_simhash,
-        "op4_chat": op4_chat,
-    }
+    own = (op1_decontamination, op2_mixing, op3_simhash, op4_chat, op5_token_counts, op6_token_ids, op7_minhash, op8_toxicity, op9_language_id, op10_secrets)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.mix_sql(), "op4_chat": chat.chats_sql()}
+    return {"op2_mixing": mixing.mix_sql(), "op4_chat": chat.chats_sql(), "op10_secrets": secrets.secrets_sql()}

@@ -91,11 +91,8 @@ def fold(body: np.ndarray) -> np.ndarray:
     return low
 
 
-def words(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each document) of one piece."""
-    n, docs = len(body), len(offs) - 1
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(docs, np.int64)
+def _spans(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes, first and last byte of each word) of one piece."""
     low = fold(body)
     is_word = low != 0
     first = is_word.copy()
@@ -106,13 +103,32 @@ def words(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, end = offs[:-1][filled], offs[1:][filled] - 1
     first[at] |= is_word[at]
     last[end] |= is_word[end]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _pow(n)
+    return low, np.flatnonzero(first), np.flatnonzero(last)
+
+
+def _hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _pow(len(low))
     run = np.add.accumulate(_BYTE[low] * up)
     h = run[ends] - run[starts] + _BYTE[low[starts]] * up[starts]
     h *= down[starts]
-    counts = np.diff(np.searchsorted(starts, offs))
-    return mix64(h), counts
+    return mix64(h)
+
+
+def words(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each document) of one piece."""
+    if not len(body):
+        return np.zeros(0, np.uint64), np.zeros(len(offs) - 1, np.int64)
+    low, starts, ends = _spans(body, offs)
+    return _hash(low, starts, ends), np.diff(np.searchsorted(starts, offs))
+
+
+def words_and_beginnings(body: np.ndarray, offs: np.ndarray, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of each word and of its first bytes, for each of ``sizes``; number of words of each document)."""
+    if not len(body):
+        return [np.zeros(0, np.uint64)] * (1 + len(sizes)), np.zeros(len(offs) - 1, np.int64)
+    low, starts, ends = _spans(body, offs)
+    out = [_hash(low, starts, ends)] + [_hash(low, starts, np.minimum(ends, starts + n - 1)) for n in sizes]
+    return out, np.diff(np.searchsorted(starts, offs))
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
