@@ -34,7 +34,10 @@ PREFIX = (4, 5)
 #: A mined term is in so many toxic texts that aren't near copies of each other, and so many times more frequent there.
 LEAST_TEXTS = 4
 LEAST_RATIO = 30.0
+#: -log of the chance that its texts are toxic by accident, at least; about the log of the number of terms.
+LEAST_SURPRISE = 9.0
 MAX_TERMS = 20_000
+LEAST_ACCURACY = 0.9
 THRESHOLD = 0.5
 
 
@@ -90,7 +93,8 @@ def mine(sampled: DataFrame) -> list[tuple[int, int, int]]:
     per = sampled.select("near", "toxic", F.explode("terms").alias("term")).groupBy("term", "toxic").agg(F.countDistinct("near").alias("n"))
     both = per.groupBy("term").agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("b"))
     ratio = (F.col("a") / F.lit(totals[1])) / ((F.col("b") + 0.5) / F.lit(totals.get(0, 0) + 1.0))
-    kept = both.where((F.col("a") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).orderBy(F.desc("a"), "b", "term").limit(MAX_TERMS)
+    surprise = F.col("a") * F.lit(float(np.log((totals[1] + totals.get(0, 0) + 1.0) / totals[1])))
+    kept = both.where((F.col("a") >= LEAST_TEXTS) & (surprise >= LEAST_SURPRISE) & (ratio >= LEAST_RATIO)).orderBy(F.desc("a"), "b", "term").limit(MAX_TERMS)
     return [(r.term, r.a, r.b) for r in kept.collect()]
 
 
@@ -144,16 +148,18 @@ class LabelModel:
         n, total = patterns.shape[1], max(1.0, float(counts.sum()))
         fired = patterns.any(axis=1)
         self.prior = float(min(0.3, max(1e-4, counts[fired & (patterns.sum(axis=1) > 1)].sum() / total)))
-        self.yes, self.no = np.full(n, 0.3), np.full(n, 0.005)
-        self.weight = np.ones(n)
+        self.yes, self.no = np.full(n, 0.3), np.full(n, 1e-4)
+        self.related = np.zeros((n, n))
         for i in range(rounds):
             q = self.posterior(patterns)
             w1, w0 = counts * q, counts * (1 - q)
             self.yes = np.clip((w1 @ patterns + 0.3) / (w1.sum() + 1), 0.02, 0.98)
-            self.no = np.clip((w0 @ patterns + 0.005) / (w0.sum() + 1), 1e-5, 0.05)
-            self.prior = float(np.clip(w1.sum() / total, 1e-5, 0.5))
+            self.no = np.clip((w0 @ patterns + 0.005) / (w0.sum() + 1), 1e-6, 0.05)
+            self.prior = float(np.clip(w1.sum() / total, 1e-4, 0.5))
+            # a voter is right in LEAST_ACCURACY of its votes at least, else a class could swallow all votes of a language
+            self.no = np.minimum(self.no, self.yes * self.prior / (1 - self.prior) * (1 - LEAST_ACCURACY) / LEAST_ACCURACY)
             if i % 10 == 9:
-                self.weight = 1 / (1 + self.correlations(patterns, w1, self.yes).sum(axis=1))
+                self.related = self.correlations(patterns, w1, self.yes)
 
     @staticmethod
     def correlations(patterns: np.ndarray, weights: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -166,10 +172,11 @@ class LabelModel:
         return np.where(r > 0.1, r, 0)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """A voter that fires counts by its likelihood ratio; silence of all of them counts as a whole."""
-        hit = self.weight * np.log(self.yes / self.no)
-        miss = self.weight * np.log((1 - self.yes) / (1 - self.no))
-        s = patterns @ hit + (1 - patterns) @ miss + np.log(self.prior / (1 - self.prior))
+        """A voter that fires counts by its likelihood ratio, one that abstains says nothing; silence of all counts as a whole."""
+        silent = ~patterns.any(axis=1)
+        quiet = np.log(np.prod(1 - self.yes) + 1e-9) - np.log(np.prod(1 - self.no))
+        shared = 1 + patterns @ self.related  # a voter counts for less beside voters that it correlates with
+        s = (patterns * np.log(self.yes / self.no) / shared).sum(axis=1) + silent * quiet + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
 
 
