@@ -1,18 +1,541 @@
-"""Queries of the reference's operators over the driver's tables, with SQL for each."""
+"""Queries of the reference's operators over the driver's whole tables, with SQL for DuckDB where SQL can say it."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from segmenta.functions import message as msg
+from segmenta.functions import plural as pl
+from segmenta.functions import text as fx
+from segmenta.operators import lookup, matching, memory, targets
+from segmenta.plans import views as v
+from segmenta.plans.views import table
+from segmenta.sources import html, json_i18n
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# --- scans, lookups, predicates -----------------------------------------------------------
+
+
+@query(v.UNITS_SQL)
+def units_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.units(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({v.UNITS_SQL}) WHERE unit_id IN (SELECT doc_id || ':0' FROM labels)")
+def unit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first unit of each labelled document, by id."""
+    wanted = table(spark, sf_dir, "labels").select(F.concat_ws(":", "doc_id", F.lit(0)).alias("unit_id"))
+    return lookup.units_by_id(v.units(spark, sf_dir), wanted)
+
+
+@query(f"SELECT unit_id FROM ({v.UNITS_SQL}) ORDER BY doc_id, ordinal")
+def ids_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.ids(v.units(spark, sf_dir))
+
+
+@query(f"SELECT unit_id, length(source) AS n FROM ({v.UNITS_SQL}) WHERE source LIKE '%.' AND source_locale <> 'en'")
+def filter_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.filtered(v.units(spark, sf_dir), F.col("source").endswith(".") & (F.col("source_locale") != "en")).select("unit_id", F.length("source").alias("n"))
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as units with a struct, a map and an array of structs inside."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.select(
+        "doc_id",
+        F.struct(F.col("n_chars").alias("max_length"), F.col("quality").alias("usage_count")).alias("meta"),
+        F.create_map(F.lit("project"), F.col("source"), F.lit("lang"), F.col("lang")).alias("extensions"),
+        F.array(F.struct(F.struct(F.col("source").alias("project")).alias("origin")), F.struct(F.struct(F.col("lang").alias("project")).alias("origin"))).alias("comments"),
+        (F.col("toxic") == 1).alias("plural"),
+    )
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src3'")
+def where_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.where(_nested(spark, sf_dir), "extensions.project", "src3").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'fr' OR lang = 'fr'")
+def where_array_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.where(_nested(spark, sf_dir), "comments.origin.project", "fr").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def where_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.where(_nested(spark, sf_dir), "meta.usage_count", 1).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
+def where_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.where(_nested(spark, sf_dir), "plural", True).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL")
+def plural_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.plurals(_nested(spark, sf_dir)).select("doc_id")
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') || CASE WHEN role = 'user' THEN '?' ELSE '!' END AS plain, true AS agrees FROM conversations WHERE text IS NOT NULL")
+def plain_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    end = F.when(F.col("role") == "user", "?").otherwise("!")
+    parts = F.array(part("text", F.col("text")), part("code", F.lit("b1")), part("text", end))
+    return c.select("conv_id", "turn", fx.plain_text(parts).alias("plain"), fx.parts_match(parts, F.concat("text", end)).alias("agrees"))
+
+
+# --- order and neighbours -----------------------------------------------------------------
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat_ws(":", "conv_id", "turn").alias("unit_id"), "role", "text")
+
+
+CHAT_SQL = "SELECT conv_id AS doc_id, turn AS ordinal, conv_id || ':' || turn AS unit_id, role, text FROM conversations"
+
+
+@query(f"SELECT unit_id, lag(unit_id) OVER w AS previous_id, lead(unit_id) OVER w AS next_id FROM ({v.UNITS_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)")
+def prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.with_neighbours(v.units(spark, sf_dir)).select("unit_id", "previous_id", "next_id")
+
+
+@query(f"""SELECT unit_id, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role THEN lag(unit_id) OVER w END AS previous_id,
+       CASE WHEN lead(role) OVER w IS NOT DISTINCT FROM role THEN lead(unit_id) OVER w END AS next_id FROM ({CHAT_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)""")
+def prev_next_same_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.with_neighbours(_chat(spark, sf_dir), "role").select("unit_id", "previous_id", "next_id")
+
+
+@query(f"""SELECT doc_id, ordinal, CASE WHEN role = 'assistant' THEN 'auto_' || (sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ordinal) - 1)::BIGINT ELSE unit_id END AS unit_id FROM ({CHAT_SQL})""")
+def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chat(spark, sf_dir).withColumn("unit_id", F.when(F.col("role") != "assistant", F.col("unit_id")))
+    return lookup.generated_ids(c).select("doc_id", "ordinal", "unit_id")
+
+
+@query(f"""SELECT doc_id, ordinal, CASE WHEN n = 1 THEN role ELSE role || '#' || n END AS unique_key FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, role ORDER BY ordinal) AS n FROM ({CHAT_SQL}))""")
+def dup_key_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.suffixed_keys(_chat(spark, sf_dir), "role", "ordinal").select("doc_id", "ordinal", "unique_key")
+
+
+@query(f"""SELECT doc_id, ordinal, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY ordinal) AS BIGINT) AS "group" FROM (
+       SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS new FROM ({CHAT_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))""")
+def resource_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.resource_groups(_chat(spark, sf_dir), "role").select("doc_id", "ordinal", "group")
+
+
+# --- targets --------------------------------------------------------------------------------
+
+
+def _multilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a target in 'xx' where they are labelled and one in 'yy' always."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    value = lambda text, status: F.struct(text.alias("text"), status.alias("status"), F.create_map(F.lit("from"), F.col("source")).alias("extensions"))
+    xx = F.when(F.col("quality").isNotNull(), F.create_map(F.lit("xx"), value(F.upper("lang"), F.when(F.col("quality") == 1, "approved").otherwise("unknown")))).otherwise(F.create_map().cast("map<string,struct<text:string,status:string,extensions:map<string,string>>>"))
+    return d.select(
+        "doc_id",
+        F.col("n_chars").alias("ordinal"),
+        F.col("doc_id").cast("string").alias("unit_id"),
+        F.col("lang").alias("source"),
+        F.lit("legacy").alias("target"),
+        F.lit("draft").alias("status"),
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("from"), F.lit("unit")).alias("extensions"),
+        F.map_concat(xx, F.create_map(F.lit("yy"), value(F.reverse("lang"), F.lit("translated")))).alias("targets"),
+        F.array(F.lit("xx"), F.lit("yy")).alias("target_locales"),
+    )
+
+
+_MULTI = "(SELECT d.*, quality FROM documents d LEFT JOIN labels USING (doc_id))"
+
+
+@query(f"SELECT doc_id, upper(lang) AS target, CASE WHEN quality = 1 THEN 'approved' ELSE 'unknown' END AS status, source AS origin, lang FROM {_MULTI} WHERE quality IS NOT NULL")
+def select_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = targets.select_target(_multilingual(spark, sf_dir), "xx")
+    return out.select("doc_id", "target", "status", F.col("extensions")["from"].alias("origin"), F.col("extensions")["lang"].alias("lang"))
+
+
+@query(f"""SELECT doc_id, 'xx' AS target_locale, upper(lang) AS target FROM {_MULTI} WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'yy', reverse(lang) FROM {_MULTI}""")
+def split_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.split_targets(_multilingual(spark, sf_dir)).select("doc_id", "target_locale", "target")
+
+
+@query(f"""SELECT doc_id, CASE WHEN quality IS NULL THEN reverse(lang) ELSE 'legacy' END AS sole_text, CASE WHEN quality IS NULL THEN 'translated' ELSE 'draft' END AS sole_status,
+       CASE WHEN quality IS NULL THEN 'legacy' ELSE upper(lang) END AS xx_text FROM {_MULTI}""")
+def target_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multilingual(spark, sf_dir).select("doc_id", targets.target_text().alias("sole_text"), targets.target_status().alias("sole_status"), targets.target_text("xx").alias("xx_text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN quality = 1 THEN 'approved' ELSE 'translated' END AS status FROM {_MULTI}")
+def first_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multilingual(spark, sf_dir).select("doc_id", targets.first_status().alias("status"))
+
+
+@query(f"""SELECT source AS doc_id, locale, row_number() OVER (PARTITION BY source ORDER BY o, i) - 1 AS place FROM (
+       SELECT source, locale, min(o) AS o, arg_min(i, o) AS i FROM (SELECT source, 'xx' AS locale, n_chars AS o, 0 AS i FROM {_MULTI} WHERE quality IS NOT NULL
+         UNION ALL SELECT source, 'yy', n_chars, CASE WHEN quality IS NULL THEN 0 ELSE 1 END FROM {_MULTI}) GROUP BY ALL)""")
+def distinct_locales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _multilingual(spark, sf_dir).withColumn("doc_id", F.col("extensions")["lang"])
+    u = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("unit_id"), F.col("source").alias("_s")).join(u, "unit_id").withColumn("doc_id", F.col("_s"))
+    return targets.locales_in_order(u)
+
+
+@query(f"""SELECT unit_key, source, xx, yy FROM (SELECT doc_id AS unit_key, lang AS source, CASE WHEN quality IS NOT NULL THEN upper(lang) END AS xx, reverse(lang) AS yy FROM {_MULTI})""")
+def multilingual_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = targets.split_targets(_multilingual(spark, sf_dir)).select(F.col("doc_id").alias("unit_key"), "source", "target_locale", "target", "status")
+    out = targets.gathered(rows)
+    return out.select("unit_key", "source", F.try_element_at("targets", F.lit("xx"))["text"].alias("xx"), F.try_element_at("targets", F.lit("yy"))["text"].alias("yy"))
+
+
+@query("SELECT p_partkey AS id, p_name AS source, upper(p_brand) AS target_xx, lower(p_type) AS target_yy, CASE WHEN p_size > 25 THEN 'approved' ELSE '' END AS status, p_brand || '; ' || p_type AS comments FROM part")
+def csv_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabular units as records: one column for each target, unknown status blank, comments joined."""
+    p = table(spark, sf_dir, "part")
+    t = F.create_map(F.lit("xx"), F.upper("p_brand"), F.lit("yy"), F.lower("p_type"))
+    u = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("source"), t.alias("targets"), F.when(F.col("p_size") > 25, "approved").otherwise("unknown").alias("status"), F.array("p_brand", "p_type").alias("notes"))
+    return u.select("id", "source", F.col("targets")["xx"].alias("target_xx"), F.col("targets")["yy"].alias("target_yy"), F.when(F.col("status") == "unknown", "").otherwise(F.col("status")).alias("status"), F.array_join("notes", "; ").alias("comments"))
+
+
+# --- keys and maps --------------------------------------------------------------------------
+
+
+@query(f"SELECT unit_id, source_hash FROM ({v.TRANSLATED_SQL})")
+def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.translated(spark, sf_dir).select("unit_id", "source_hash")
+
+
+@query(f"SELECT unit_id, context_hash FROM ({v.TRANSLATED_SQL})")
+def context_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.translated(spark, sf_dir).select("unit_id", "context_hash")
+
+
+@query("SELECT c_custkey, lang || '-' || upper(country) AS canonical, lang AS base FROM (SELECT c_custkey, lower(left(c_mktsegment, 2)) AS lang, lower(right(c_mktsegment, 2)) AS country FROM customer)")
+def canonical_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locales made of letters of a column, in the wrong case and with an underscore."""
+    raw = F.concat(F.upper(F.substring("c_mktsegment", 1, 2)), F.lit("_"), F.lower(F.expr("right(c_mktsegment, 2)")))
+    return table(spark, sf_dir, "customer").select("c_custkey", fx.canonical_locale(raw).alias("canonical"), fx.base_language(raw).alias("base"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey < 26 THEN '' WHEN s_suppkey < 702 THEN chr((65 + s_suppkey // 26 - 1)::INT) ELSE chr((65 + (s_suppkey // 26 - 1) // 26 - 1)::INT) || chr((65 + (s_suppkey // 26 - 1) % 26)::INT) END || chr((65 + s_suppkey % 26)::INT) AS letters FROM supplier")
+def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", fx.column_letters(F.col("s_suppkey")).alias("letters"))
+
+
+def _case(values: dict[str, str], name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {name} = '{k}' THEN '{x}'" for k, x in values.items()) + " ELSE 'unknown' END"
+
+
+_EVENT_STATE = {"click": "final", "view": "needs-translation", "purchase": "signed-off", "signup": "needs-review-l10n"}
+
+
+@query(f"SELECT event_id, {_case(fx.TMX_STATUS, 's')} AS tmx, {_case(fx.XLIFF_STATUS, 's')} AS xliff FROM (SELECT event_id, {_case(_EVENT_STATE, 'event_type')} AS s FROM events)")
+def status_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx._mapped(F.col("event_type"), _EVENT_STATE, "unknown")
+    return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", fx.tmx_status(F.upper("s")).alias("tmx"), fx.xliff_status(F.col("s"), F.col("s")).alias("xliff"))
+
+
+@query("""SELECT doc_id, coalesce(l.toxic::VARCHAR, d.source) AS source, d.lang AS lang, l.quality::VARCHAR AS quality FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def extensions_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of two tables joined and merged; entries of labels win."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("a"))
+    n = table(spark, sf_dir, "labels").select("doc_id", F.create_map(F.lit("source"), F.col("toxic").cast("string"), F.lit("quality"), F.col("quality").cast("string")).alias("b"))
+    m = d.join(n, "doc_id", "left").select("doc_id", fx.merged_map(F.col("a"), F.col("b")).alias("m"))
+    return m.select("doc_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("source", "lang", "quality")])
+
+
+# --- matching -------------------------------------------------------------------------------
+
+
+def _match_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(untranslated units as queries, memory of the translated ones)."""
+    t = v.translated(spark, sf_dir)
+    q = t.where("target IS NULL").select(F.col("unit_id").alias("query_id"), "source", "source_locale", "target_locale", "previous_source", "next_source")
+    return q, v.memory(t)
+
+
+_LOC = "source_locale, target_locale"
+_SIDES = f"""q AS (SELECT unit_id AS query_id, source, {_LOC}, previous_source, next_source, source_hash, context_hash FROM ({v.TRANSLATED_SQL}) WHERE target IS NULL),
+    m AS ({v.MEMORY_SQL}),
+    mi AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source_hash, context_hash, {_LOC} ORDER BY usage_count DESC, unit_id) = 1),
+    me AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source_hash, {_LOC} ORDER BY usage_count DESC, unit_id) <= 5),
+    i AS (SELECT q.query_id, mi.unit_id, mi.target, CAST(1 AS DOUBLE) AS score, 'ice' AS kind FROM q JOIN mi USING (source_hash, context_hash, {_LOC})),
+    e AS (SELECT q.query_id, me.unit_id, me.target, CAST(1 AS DOUBLE) AS score, 'exact' AS kind FROM q JOIN me USING (source_hash, {_LOC})),
+    t AS (SELECT * FROM i UNION ALL SELECT * FROM e WHERE query_id NOT IN (SELECT query_id FROM i))"""
+
+
+@query(f"WITH {_SIDES} SELECT * FROM i")
+def match_ice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.ice(*_match_sides(spark, sf_dir))
+
+
+@query(f"WITH {_SIDES} SELECT * FROM e")
+def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.exact(*_match_sides(spark, sf_dir))
+
+
+@query(f"WITH {_SIDES} SELECT * FROM t")
+def match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_tiers(*_match_sides(spark, sf_dir))
+
+
+_NORM = "trim(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'))"
+_EQ = "({} = {})".format
+_CLASSIFIED = f"""SELECT t.query_id, t.unit_id, t.score, {_EQ(_NORM.format("q.source"), _NORM.format("m.source"))} AS source_equal, true AS tags_equal,
+      {_EQ(_NORM.format("q.previous_source"), _NORM.format("m.previous_source"))} AS previous_equal, {_EQ(_NORM.format("q.next_source"), _NORM.format("m.next_source"))} AS next_equal, t.kind AS was
+      FROM t JOIN q USING (query_id) JOIN m ON t.unit_id = m.unit_id"""
+
+
+@query(f"""WITH {_SIDES}, c AS ({_CLASSIFIED})
+    SELECT query_id, unit_id, score, CASE WHEN source_equal AND previous_equal AND next_equal AND was = 'ice' THEN 'ice' WHEN source_equal THEN 'exact' ELSE 'fuzzy' END AS kind, source_equal, tags_equal, previous_equal, next_equal FROM c""")
+def match_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, m = _match_sides(spark, sf_dir)
+    return matching.classify(matching.match_tiers(q, m), q, m)
+
+
+@query(f"""WITH {_SIDES}, c AS ({_CLASSIFIED}),
+    k AS (SELECT query_id, unit_id, score, CASE WHEN source_equal AND previous_equal AND next_equal AND was = 'ice' THEN 'ice' WHEN source_equal THEN 'exact' ELSE 'fuzzy' END AS kind, source_equal, tags_equal, previous_equal, next_equal FROM c)
+    SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE kind WHEN 'ice' THEN 0 WHEN 'exact' THEN 1 ELSE 2 END, unit_id) <= 2""")
+def match_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best matches of each query, which is the limit that the caller sets."""
+    q, m = _match_sides(spark, sf_dir)
+    return matching.classify(matching.match_tiers(q, m), q, m, limit=2)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries in every language of documents."""
+    locales = table(spark, sf_dir, "documents").select(F.col("lang").alias("source_locale")).distinct()
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
+    none = F.lit(None).cast("string")
+    return b.crossJoin(locales).select(F.concat_ws(":", "item_id", "source_locale").alias("query_id"), "source", "source_locale", F.lit("xx").alias("target_locale"), none.alias("previous_source"), none.alias("next_source"))
+
+
+@query()
+def match_fuzzy_trgm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory's lines that are similar to a benchmark item."""
+    return matching.fuzzy(_items(spark, sf_dir), v.memory(v.translated(spark, sf_dir)), 0.6)
+
+
+@query()
+def match_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers for all benchmark items in one join, classified."""
+    q, m = _items(spark, sf_dir), v.memory(v.translated(spark, sf_dir))
+    return matching.classify(matching.match_tiers(q, m, 5, 0.6), q, m, require_context=False, limit=5)
+
+
+@query("""WITH a AS (SELECT p_partkey AS unit_id, p_partkey AS ordinal, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM part),
+    b AS (SELECT p_brand AS query_id, unnest(list_distinct(string_split(lower(min(p_name || ' ' || p_type)), ' '))) AS token FROM part GROUP BY p_brand),
+    c AS (SELECT query_id, unit_id, count(*) AS shared, min(ordinal) AS ordinal FROM a JOIN b USING (token) GROUP BY ALL)
+    SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, ordinal, unit_id) <= 1000""")
+def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a sequence-ratio search, at most max(200 limit, 1000) of a query, as the operator defines it."""
+    p = table(spark, sf_dir, "part")
+    q = p.groupBy(F.col("p_brand").alias("query_id")).agg(F.min(F.concat_ws(" ", "p_name", "p_type")).alias("source"))
+    return matching.token_candidates(q, p.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source")))
+
+
+@query()
+def fuzzy_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose names are like a supplier's, by sequence ratio."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source"))
+    s = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_name").alias("source")).select(F.col("p_brand").alias("query_id"), "source")
+    return matching.fuzzy_find(s, p, 0.6, 3)
+
+
+@query()
+def pair_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation against the one before it."""
+    c = lookup.with_neighbours(_chat(spark, sf_dir))
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    pairs = c.select("unit_id", F.col("text").alias("q_source"), F.lag("text").over(w).alias("u_source"), F.lit(None).cast("string").alias("q_previous"), F.lit(None).cast("string").alias("u_previous"), F.lit(None).cast("string").alias("q_next"), F.lit(None).cast("string").alias("u_next")).where("u_source IS NOT NULL")
+    return matching.compare(pairs).select("unit_id", "score", "kind")
+
+
+# --- loading a memory -----------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN quality = 1 THEN 'approved' ELSE 'unknown' END AS xs FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT doc_id, 'xx' AS target_locale, upper(lang) AS target, xs AS status, source AS origin FROM o WHERE quality IS NOT NULL
+    UNION ALL SELECT doc_id, 'yy', reverse(lang), 'translated', source FROM o""")
+def load_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory rows of units with targets in two locales."""
+    u = _multilingual(spark, sf_dir)
+    e = u.select("*", F.explode_outer(F.map_entries("targets")).alias("e"))
+    return e.select("doc_id", F.col("e.key").alias("target_locale"), F.coalesce("e.value.text", "target").alias("target"), F.coalesce("e.value.status", "status").alias("status"), fx.merged_map(F.col("extensions"), F.col("e.value.extensions"))["from"].alias("origin"))
+
+
+@query(f"""SELECT unit_id FROM ({v.TRANSLATED_SQL}) QUALIFY row_number() OVER (PARTITION BY lower(source), target, source_locale, target_locale, lower(coalesce(previous_source, '')), lower(coalesce(next_source, '')) ORDER BY doc_id, ordinal) = 1""")
+def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = v.translated(spark, sf_dir).withColumn("unit_key", F.col("unit_id"))
+    return memory.first_of_key(t.withColumn("previous_source", F.coalesce("previous_source", F.lit(""))).withColumn("next_source", F.coalesce("next_source", F.lit("")))).select("unit_id")
+
+
+_STAMP = "2026-01-01 00:00:00"
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(memory of the lines of approved documents, rows of the lines of all labelled ones)."""
+    t = v.translated(spark, sf_dir)
+
+    def rows(df: DataFrame, uses: Column, mark: str) -> DataFrame:
+        have = {
+            "unit_key": F.col("unit_id"), "usage_count": uses, "extensions": F.create_map(F.lit(mark), F.col("unit_id")),
+            "updated_at": F.lit(None).cast("timestamp"), "id": F.lit(""),
+        }
+        types = dict(c.split(" ", 1) for c in re.split(r", (?=\w+ )", memory.COLUMNS))
+        return df.select(*[have.get(n, F.col(n) if n in df.columns else F.lit(None)).cast(types[n]).alias(n) for n in memory.NAMES])
+
+    old = rows(v.memory(t.where("status = 'approved'")), F.col("usage_count"), "old")
+    old = old.withColumn("id", memory.row_id())
+    new = rows(v.memory(t), F.lit(1), "new")
+    return old, new
+
+
+@query(f"""WITH a AS (SELECT * FROM ({v.TRANSLATED_SQL}) WHERE target IS NOT NULL),
+    o AS (SELECT source_hash, context_hash, source_locale, target, count(*) AS n, arg_min(unit_id, {{'d': doc_id, 'o': ordinal}}) AS u FROM a WHERE status = 'approved' GROUP BY ALL),
+    n AS (SELECT source_hash, context_hash, source_locale, target, arg_min(unit_id, {{'d': doc_id, 'o': ordinal}}) AS u FROM a GROUP BY ALL)
+    SELECT n.u AS unit_key, source_hash, context_hash, CAST(CASE WHEN o.u IS NULL THEN 1 ELSE greatest(o.n, 1) + 1 END AS INTEGER) AS usage_count, o.u AS old_mark, n.u AS new_mark FROM n LEFT JOIN o USING (source_hash, context_hash, source_locale, target)""")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    out = memory.upserted(old, new, F.lit(_STAMP).cast("timestamp"))
+    return out.select("unit_key", "source_hash", "context_hash", "usage_count", F.try_element_at("extensions", F.lit("old")).alias("old_mark"), F.try_element_at("extensions", F.lit("new")).alias("new_mark"))
+
+
+@query(f"""SELECT unit_id AS unit_key, source_hash, 2 AS usage_count FROM ({v.TRANSLATED_SQL}) WHERE target IS NULL""")
+def update_untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untranslated rows that are loaded again meet themselves by key and are counted up, never doubled."""
+    t = v.translated(spark, sf_dir).where("target IS NULL")
+    types = dict(c.split(" ", 1) for c in re.split(r", (?=\w+ )", memory.COLUMNS))
+    have = {"unit_key": F.col("unit_id"), "usage_count": F.lit(1)}
+    rows = t.select(*[have.get(n, F.col(n) if n in t.columns else F.lit(None)).cast(types[n]).alias(n) for n in memory.NAMES]).withColumn("id", memory.row_id())
+    return memory.upserted(rows, rows, F.lit(_STAMP).cast("timestamp")).select("unit_key", "source_hash", "usage_count")
+
+
+@query("""SELECT o_orderkey AS unit_id, l_linenumber AS position, 'new' AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'
+    UNION ALL SELECT l_orderkey, l_linenumber, 'old' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
+def child_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of the parents that were touched are replaced; all others stay."""
+    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("position"))
+    touched = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("unit_id"))
+    new = children.join(touched, "unit_id").withColumn("side", F.lit("new"))
+    return new.unionByName(children.join(touched, "unit_id", "left_anti").withColumn("side", F.lit("old")))
+
+
+@query("""SELECT 'c' || o_custkey AS unit_id, CAST(min(o_orderkey) AS BIGINT) AS ordinal, arg_min(o_comment, o_orderkey) AS source, arg_min(o_orderstatus, o_orderkey) AS status,
+    arg_max(o_clerk, o_orderkey) AS clerk FROM (SELECT *, o_orderpriority AS o_comment, o_orderpriority AS o_clerk FROM orders) GROUP BY o_custkey""")
+def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as units with the customer as id: the first of a customer, extensions of the last."""
+    o = table(spark, sf_dir, "orders")
+    u = o.select(F.lit("orders").alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("unit_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("source"), F.lit(None).cast("string").alias("target"), F.col("o_orderstatus").alias("status"), F.create_map(F.lit("clerk"), F.col("o_orderpriority")).alias("extensions"))
+    return targets.merge_by_id(u).select("unit_id", "ordinal", "source", "status", F.col("extensions")["clerk"].alias("clerk"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def extra_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplied ids that nothing consumes."""
+    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT coalesce(c_custkey, o_custkey) AS unit_id, coalesce(c_mktsegment, p) AS source, p AS target FROM customer FULL JOIN (SELECT o_custkey, min(o_orderpriority) AS p FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def po_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue and its translation joined by id; unknown ids come in with their own source."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_mktsegment").alias("source"))
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.min("o_orderpriority").alias("target"))
+    return c.join(t, "unit_id", "full_outer").select("unit_id", F.coalesce("source", "target").alias("source"), "target")
+
+
+@query("SELECT p_partkey AS unit_id, p_name AS source, s_name AS target FROM part LEFT JOIN supplier ON p_partkey = s_suppkey")
+def json_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_name").alias("source"))
+    return p.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), F.col("s_name").alias("target")), "unit_id", "left")
+
+
+@query("SELECT doc_id, coalesce(CASE quality WHEN 1 THEN upper(source) END, source) AS cell FROM documents LEFT JOIN labels USING (doc_id)")
+def regen_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as they were, with the new target where there is one."""
+    new = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("has"))
+    return table(spark, sf_dir, "documents").join(new, "doc_id", "left").select("doc_id", F.when(F.col("has"), F.upper("source")).otherwise(F.col("source")).alias("cell"))
+
+
+# --- plurals, messages ----------------------------------------------------------------------
+
+_N = "CAST(l_quantity AS BIGINT)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_N} = 1 THEN 'one' ELSE 'other' END AS en, CASE WHEN {_N} % 10 = 1 AND {_N} % 100 <> 11 THEN 'one' WHEN {_N} % 10 = 2 AND {_N} % 100 <> 12 THEN 'two' WHEN {_N} % 10 = 3 AND {_N} % 100 <> 13 THEN 'few' ELSE 'other' END AS en_ordinal FROM lineitem")
+def plural_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_quantity").cast("bigint")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pl.category_column("en", n).alias("en"), pl.category_column("en", n, True).alias("en_ordinal"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 1 AND p_size % 100 <> 11 THEN 'one' WHEN p_size % 10 BETWEEN 2 AND 4 AND p_size % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS ru,
+    CASE WHEN p_size = 0 THEN 'zero' WHEN p_size = 1 THEN 'one' WHEN p_size = 2 THEN 'two' WHEN p_size % 100 BETWEEN 3 AND 10 THEN 'few' WHEN p_size % 100 BETWEEN 11 AND 99 THEN 'many' ELSE 'other' END AS ar,
+    CASE WHEN p_size % 10 = 1 AND p_size % 100 <> 11 THEN 0 WHEN p_size % 10 BETWEEN 2 AND 4 AND (p_size % 100 < 10 OR p_size % 100 >= 20) THEN 1 ELSE 2 END AS gettext FROM part""")
+def plural_ru_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = pl.gettext_rule("nplurals=3; plural=(n%10==1 && n%100!=11 ? 0 : n%10>=2 && n%10<=4 && (n%100<10 || n%100>=20) ? 1 : 2);")
+    n = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", pl.category_column("ru", n).alias("ru"), pl.category_column("ar", n).alias("ar"), rule.column(n).alias("gettext"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 'no parts' WHEN p_size = 1 THEN '1 part' ELSE p_size || ' parts' END || ' of ' || p_brand AS text FROM part")
+def icu_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = F.lit("{n, plural, =0 {no parts} one {# part} other {# parts}} of {brand}")
+    arguments = F.create_map(F.lit("n"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", msg.message_udf()(pattern, arguments, F.lit("en")).alias("text"))
+
+
+# --- JSON and HTML --------------------------------------------------------------------------
+
+
+_EVENT_JSON = """'{"event": {"type": "' || event_type || '", "n": 1}, "list": ["x"], "user": "u' || user_id || '", "props": ' || props || '}'"""
+
+
+@query("SELECT event_id, unnest(['event.type', 'user']) AS key, unnest([event_type, 'u' || user_id]) AS value FROM events")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String leaves of JSON objects with dotted keys; numbers and lists are no texts."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_EVENT_JSON).alias("json"))
+    return json_i18n.leaves(e, "event_id", "json").select("event_id", "key", "value")
+
+
+@query("SELECT event_id, CAST(props::JSON ->> '$.k' AS BIGINT) AS k FROM events")
+def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query()
+def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translatable texts of all pages."""
+    return html.units(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Casefolded sources and how many units share each."""
+    return v.units(spark, sf_dir).select(fx.casefolded("source").alias("normalized")).groupBy("normalized").agg(F.count("*").alias("n"))
