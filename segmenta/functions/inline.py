@@ -164,6 +164,8 @@ class Builder:
 
     def code(self, kind: str, name: str, attributes: dict[str, str], original: str | None = None, pair: str | None = None) -> None:
         n = len(self.ties) + 1
+        if kind == "custom.close":  # a closing code means what its opening one does
+            kind = next((t["type"].rpartition(".")[0] + ".close" for t in self.ties if pair is not None and t["pair_id"] == pair), kind)
         self.ties.append({"id": f"c{n}", "type": kind, "attributes": attributes, "attribute_data": None, "position": sum(len(p["value"]) for p in self.parts if p["kind"] == "text"), "ord": n - 1, "pair_id": pair, "original_name": name, "original_text": original})
         self.parts.append({"kind": "code", "value": f"c{n}"})
 

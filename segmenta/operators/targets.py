@@ -9,7 +9,7 @@ from segmenta.functions.text import merged_map
 
 
 def _sole() -> Column:
-    return F.when(F.size("targets") == 1, F.map_values("targets")[0])
+    return F.when(F.size("targets") == 1, F.get(F.map_values("targets"), 0))
 
 
 def selected(locale: str | Column | None = None) -> Column:

@@ -206,6 +206,9 @@ def regen_office(original: bytes, targets: Targets, missing: str = "keep", extra
                         raise ValueError(f"no translation for {key}")
                     continue
                 used.add(key)
+                for run in p.iter():
+                    for mark in [x for x in run if local(x.tag) in ("tab", "br", "cr") and local(run.tag) in ("r", "p")]:
+                        run.remove(mark)
                 for k, t in enumerate(texts):
                     t.text = targets[key] if k == 0 else ""
                     t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")

@@ -60,7 +60,8 @@ def resolve(first: list[str], source_locale: str | None = None, target_locale: s
     """
     names = [c.strip() for c in first]
     lowered = [re.sub(r"[\s-]+", "_", c.lower()) for c in names]
-    locales = {i: loc for i, c in enumerate(names) if (loc := header_locale(c))}
+    named = set().union(*_ALIASES.values())
+    locales = {i: loc for i, c in enumerate(names) if lowered[i] not in named and (loc := header_locale(c))}
     known = bool(locales) or any(c in a for c in lowered for a in _ALIASES.values())
     header = known if has_header is None else has_header
     chosen: dict[str, int] = {}
