@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +49,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table; ``dropped`` deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and nothing needs any more."""
+    spark = df.sparkSession
+    folder = df.inputFiles()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(df: DataFrame) -> Column:
     """One number for each row of documents; equal rows have equal keys."""
     return F.xxhash64(*[df[c] for c in DOCUMENT_COLUMNS])

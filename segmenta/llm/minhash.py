@@ -4,7 +4,8 @@ A document's shingles are the hashes of its runs of SHINGLE words, as a set.  Ea
 of PERMUTATIONS universal hashes h -> ((a h + b) mod 2^64) div 2^32, a odd, keeps its
 least value; BANDS bands of the signature are joined in Spark, and the
 Jaccard similarity of the whole shingle sets decides.  Documents with equal sets
-are joined by a hash of the set, and one stands for all of them.
+are joined by a hash of the set, and one stands for all of them.  The result names
+groups, not pairs, as the pairs of a group of copies grow with its square.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ from pyspark.sql import functions as F
 
 from segmenta.llm import textkernel as tk
 from segmenta.llm.common import cut, map_batches
+from segmenta.llm.simhash import components
 
 SHINGLE = 5
 BANDS = 16
 ROWS = 5
 PERMUTATIONS = BANDS * ROWS
 THRESHOLD = 0.7
+#: Ids that are broadcast at most (8 bytes each); beyond that, texts are joined with them by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Sets that one task compares, which bounds its memory.
+CELL = 20_000
 _RNG = np.random.Generator(np.random.PCG64(1061))
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -95,8 +101,8 @@ def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool) -> Da
     return map_batches(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The similarity of two sets of shingles in order."""
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
@@ -104,40 +110,99 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def similar_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): near-duplicate documents by their shingle sets.
+def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (a, b, jaccard) of a forest with the same components as all similar pairs that share a band.
 
-    Rows with equal sets have one representative, the least doc_id (nulls last); each
-    other row of them is a pair with it, of similarity 1.  Two representatives are a
-    pair (doc_a < doc_b) when their Jaccard similarity is ``threshold`` at least and a
-    band of their signatures agrees.  So all pairs that agree in a band follow from
-    the rows: no partner is left out and none is capped.  Null texts and texts without
-    words have no pairs.  A null doc_id is an id of its own.  Repeated rows are pairs of
-    equal doc_id.  An empty table gives no rows.  Other columns are ignored.
+    A pair that earlier links connect already isn't compared; one that was compared
+    isn't compared again.
+    """
+    n = len(rows)
+    sets = rows["set"].to_numpy()
+    shingles = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
+    bands = np.stack(rows["bands"].to_numpy())
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    failed: set[tuple[int, int]] = set()
+    links = []
+    for k in range(bands.shape[1]):
+        order = np.argsort(bands[:, k], kind="stable")
+        value = bands[order, k]
+        edges = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            groups: dict[int, list[int]] = {}
+            for i in order[lo:hi].tolist():
+                for r in list(groups):
+                    if find(i) == find(r):
+                        continue
+                    for j in groups[r]:
+                        pair = (min(i, j), max(i, j))
+                        if pair in failed:
+                            continue
+                        s = jaccard(shingles[i], shingles[j])
+                        if s >= threshold:
+                            links.append((sets[i], sets[j], s))
+                            root[find(i)] = find(j)
+                            break
+                        failed.add(pair)
+                groups.setdefault(find(i), []).append(i)
+                if len(groups) > 1:
+                    merged: dict[int, list[int]] = {}
+                    for r, members in groups.items():
+                        merged.setdefault(find(r), []).extend(members)
+                    groups = merged
+    return pd.DataFrame(links, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+
+
+def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, group_id, group_size, jaccard) of every row that is similar to another.
+
+    Two rows are similar when the Jaccard similarity of their shingle sets is
+    ``threshold`` at least and a band of their signatures agrees; a group is a
+    connected component of similar rows, named by its least doc_id (nulls last).
+    ``jaccard`` is the greatest similarity found on the links that hold the row in its
+    group, 1 for rows with equal sets.  No partner is capped or left out: pairs that
+    other links connect already are in the group without being compared.  Null texts
+    and texts without words are in no group.  Repeated rows are similar to each other.
+    An empty table gives no rows.  Other columns are ignored.
+
+    Documents connected by bands are compared in one task, which gets each set once;
+    a component of more than CELL sets is divided into parts, with a task for each
+    pair of parts.
     """
     prints = cut(_fingerprints(documents, True, False).where("size > 0"))
-    first = F.row_number().over(Window.partitionBy("set").orderBy(F.col("doc_id").asc_nulls_last()))
-    ranked = prints.select("doc_id", "set", "size", "bands", first.alias("_n"), F.min("doc_id").over(Window.partitionBy("set")).alias("_rep"))
-    copies = ranked.where("_n > 1").select(F.col("_rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = cut(ranked.where("_n = 1").select("doc_id", "set", "size", "bands"))
-    rows = reps.select("set", "size", F.explode("bands").alias("band"))
-    shared = rows.join(rows.groupBy("band").agg(F.count("*").alias("_k")).where("_k > 1").select("band"), "band", "left_semi")
-    left = shared.select("band", F.col("set").alias("a"), F.col("size").alias("na"))
-    right = shared.select("band", F.col("set").alias("b"), F.col("size").alias("nb"))
-    # the ratio of sizes bounds the similarity
-    pairs = cut(left.join(right, "band").where(F.col("a") < F.col("b")).where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = _fingerprints(documents.join(reps.join(wanted, "set", "left_semi").select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi"), False, True).select("set", "doc_id", "shingles").dropDuplicates(["set"])
-    sets = cut(sets)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"a": f.a, "b": f.b, "jaccard": [round(jaccard(x, y), 6) for x, y in zip(f.x, f.y, strict=True)]})
-
-    sides = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-    verified = sides.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= threshold)
-    ids = reps.select("set", "doc_id")
-    named = verified.join(ids.select(F.col("set").alias("a"), F.col("doc_id").alias("da")), "a").join(ids.select(F.col("set").alias("b"), F.col("doc_id").alias("db")), "b")
-    ordered = F.when(F.col("da").isNull() | (F.col("db") < F.col("da")), True).otherwise(False)
-    near = named.select(F.when(ordered, F.col("db")).otherwise(F.col("da")).alias("doc_a"), F.when(ordered, F.col("da")).otherwise(F.col("db")).alias("doc_b"), "jaccard")
-    return near.unionByName(copies)
+    reps = cut(prints.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    rows = reps.select(F.explode("bands").alias("band"), "set")
+    star = rows.groupBy("band").agg(F.collect_set("set").alias("sets")).where(F.size("sets") > 1).select(F.array_min("sets").alias("a"), F.explode("sets").alias("b"))
+    near = components(star)  # candidates: every set with a partner in some band
+    sizes = near.groupBy("root").agg(F.count("*").alias("members"))
+    candidates = near.unionByName(sizes.select(F.col("root").alias("node"), "root")).join(sizes.withColumn("parts", F.ceil((F.col("members") + 1) / F.lit(CELL)).cast("int")), "root").select(F.col("node").alias("set"), "root", "parts")
+    wanted = cut(candidates.join(reps.select("set", "doc_id"), "set"))
+    # few documents have candidates: their ids go to the texts, not the texts to them
+    ids = wanted.select(F.col("doc_id").alias("_id"))
+    side = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
+    again = documents.join(side, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    found = _fingerprints(again, True, True).select("set", "bands", "shingles").join(wanted.select("set", "root", "parts"), "set").dropDuplicates(["set"])
+    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    # a set of part p is in the tasks (p, q) of all q, with the lesser part first
+    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
+    sent = found.select("set", "bands", "shingles", "root", F.explode(tasks).alias("t")).select("set", "bands", "shingles", "root", "t.p", "t.q")
+
+    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return _verified(frame, threshold)
+
+    links = cut(sent.groupBy("root", "p", "q").applyInPandas(run, "a bigint, b bigint, jaccard double"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "jaccard").groupBy("node").agg(F.max("jaccard").alias("jaccard"))
+    roots = components(links.select("a", "b"))
+    held = prints.select("set", "doc_id").join(reps.select("set", "copies"), "set")
+    named = held.join(roots, held["set"] == roots["node"], "left").drop("node").join(ends, held["set"] == ends["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set"))
+    w = Window.partitionBy("root")
+    best = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.round("jaccard", 6))
+    return named.select("doc_id", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), best.alias("jaccard")).where("group_size > 1")

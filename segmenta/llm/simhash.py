@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmenta.llm import textkernel as tk
-from segmenta.llm.common import DOCUMENT_COLUMNS, cut, map_batches, row_key
+from segmenta.llm.common import DOCUMENT_COLUMNS, cut, dropped, map_batches, row_key, written
 
 RADIUS = 22
 RATIO = 0.75
@@ -227,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each written to the checkpoint folder,
     until the edges stay as they are; then they are stars.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
     for _ in range(60):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -235,7 +235,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(up, "b")
-        edges = cut(joined.select(F.col("m").alias("a"), "b").unionByName(joined.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
+        last, edges = edges, written(joined.select(F.col("m").alias("a"), "b").unionByName(joined.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
+        dropped(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == now:
             break
