@@ -58,14 +58,17 @@ def word_terms(words: list[str]) -> np.ndarray:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(text, toxic) of ``size`` labelled documents of each class, about, chosen by hash."""
+    """(text, toxic) of ``size`` labelled documents of each class, about, chosen by hash.
+
+    The ids that are broadcast are the sample's, whose size doesn't depend on the table's.
+    """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = F.lit(0.0)
     for c, n in counts.items():
         share = F.when(F.col("toxic") == c, F.lit(min(1.0, size / n))).otherwise(share)
     drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) < share * F.lit(1 << 20))
-    return documents.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(drawn, "_id").select("text", "toxic")
+    return documents.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(F.broadcast(drawn), "_id").select("text", "toxic")
 
 
 def _sampled_terms(sample: DataFrame) -> DataFrame:
