@@ -38,6 +38,8 @@ LEAST_RATIO = 30.0
 LEAST_SURPRISE = 9.0
 MAX_TERMS = 20_000
 LEAST_ACCURACY = 0.9
+#: Log odds that a voter's term is worth before training.
+PRIOR_WEIGHT = 2.5
 THRESHOLD = 0.5
 
 
@@ -184,16 +186,16 @@ class LabelModel:
 
 
 def fit_linear(rows: list[list[int]], targets: np.ndarray, n_terms: int, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on the presence of terms, with a penalty on the weights."""
+    """Logistic regression on the presence of terms; weights are drawn towards PRIOR_WEIGHT, which unseen terms keep."""
     at = np.array([t for r in rows for t in r], np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     freq = np.maximum(1, np.bincount(at, minlength=n_terms))
     balance = np.where(targets > 0.5, 0.5 / max(1e-9, (targets > 0.5).mean()), 0.5 / max(1e-9, (targets <= 0.5).mean()))
-    w, b = np.zeros(n_terms), 0.0
+    w, b = np.full(n_terms, PRIOR_WEIGHT), 0.0
     for _ in range(rounds):
         s = np.bincount(doc, w[at], len(rows)) + b
         err = (1 / (1 + np.exp(-np.clip(s, -40, 40))) - targets) * balance
-        w -= 2.0 * (np.bincount(at, err[doc], n_terms) / (freq + 5) + 0.002 * w)
+        w -= 2.0 * (np.bincount(at, err[doc], n_terms) / (freq + 5) + 0.002 * (w - PRIOR_WEIGHT))
         b -= 0.5 * float(err.mean())
     return w, b
 
