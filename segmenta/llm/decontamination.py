@@ -46,7 +46,7 @@ class Item:
     def least(self, window: str, bound: int) -> int:
         """The least edit distance of the item to a substring of ``window`` (``bound`` if not below it)."""
         eq, mask, top, get = self.eq, self.mask, self.top, self.eq.get
-        pv, mv, score, best = mask, 0, self.m, bound
+        pv, mv, score, best = mask, 0, self.m, min(bound, self.m)
         left = len(window)
         for c in window:
             e = get(c, 0)

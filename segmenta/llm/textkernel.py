@@ -143,7 +143,7 @@ def shingles(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray,
     left = np.repeat(begin + counts, counts) - np.arange(total)
     acc = np.zeros(total, np.uint64)
     for j in range(size):
-        acc[: total - j] += h[j:] * _SHINGLE[j]
+        acc[: max(0, total - j)] += h[j:] * _SHINGLE[j]
     keep = left >= size
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
