@@ -156,31 +156,44 @@ def plural_category(locale: str, value: object, ordinal: bool = False) -> str:
     return next((category for category, alternatives in rules_for(locale, ordinal) if any(all(_true(c, ops) for c in alt) for alt in alternatives)), "other")
 
 
-def category_column(locale: str, value: Column, ordinal: bool = False) -> Column:
-    """The category of a number as an expression; pass a string column where fraction digits count."""
+def _whole_operands(value: Column) -> dict[str, Column]:
+    n, none = F.abs(value.cast("bigint")), F.lit(0).cast("bigint")
+    return {"n": n, "i": n} | dict.fromkeys("vwfte", none)
+
+
+def _decimal_operands(value: Column) -> dict[str, Column]:
     text = F.trim(value.cast("string"))
     whole = F.regexp_extract(text, r"^[+-]?(\d+)", 1)
     fraction = F.regexp_extract(text, r"^[+-]?\d+\.(\d*)$", 1)
     short = F.regexp_replace(fraction, "0+$", "")
-    number = lambda c: F.coalesce(F.expr("try_cast('0' as decimal(38,10))") if c is None else c.cast("decimal(28,0)"), F.lit(0).cast("decimal(28,0)"))
     blank = lambda c: F.when(c == "", "0").otherwise(c)
-    i = number(blank(whole))
-    ops = {
+    number = lambda c: F.coalesce(blank(c).cast("decimal(28,0)"), F.lit(0).cast("decimal(28,0)"))
+    return {
         "n": F.concat(blank(whole), F.lit("."), blank(fraction)).cast("decimal(38,10)"),
-        "i": i,
+        "i": number(whole),
         "v": F.length(fraction).cast("decimal(28,0)"),
         "w": F.length(short).cast("decimal(28,0)"),
-        "f": number(blank(fraction)),
-        "t": number(blank(short)),
+        "f": number(fraction),
+        "t": number(short),
         "e": F.lit(0).cast("decimal(28,0)"),
     }
 
+
+def category_column(locale: str, value: Column, ordinal: bool = False, whole: bool = False) -> Column:
+    """The category of a number as an expression.
+
+    Pass a string column where fraction digits count.  With ``whole``, the column is an
+    integer one and everything is integer arithmetic.
+    """
+    ops = _whole_operands(value) if whole else _decimal_operands(value)
+
     def condition(c: Condition) -> Column:
         x = ops[c[0]] % F.lit(c[1]) if c[1] else ops[c[0]]
         inside = F.lit(False)
         for a, b in c[3]:
             inside = inside | ((x == a) if a == b else x.between(a, b))
-        inside = inside & (x == F.floor(x))
+        if not whole:
+            inside = inside & (x == F.floor(x))
         return ~inside if c[2] else inside
 
     out = F.lit("other")

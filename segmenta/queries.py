@@ -492,7 +492,7 @@ _N = "CAST(l_quantity AS BIGINT)"
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_N} = 1 THEN 'one' ELSE 'other' END AS en, CASE WHEN {_N} % 10 = 1 AND {_N} % 100 <> 11 THEN 'one' WHEN {_N} % 10 = 2 AND {_N} % 100 <> 12 THEN 'two' WHEN {_N} % 10 = 3 AND {_N} % 100 <> 13 THEN 'few' ELSE 'other' END AS en_ordinal FROM lineitem")
 def plural_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_quantity").cast("bigint")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pl.category_column("en", n).alias("en"), pl.category_column("en", n, True).alias("en_ordinal"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pl.category_column("en", n, whole=True).alias("en"), pl.category_column("en", n, True, whole=True).alias("en_ordinal"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 10 = 1 AND p_size % 100 <> 11 THEN 'one' WHEN p_size % 10 BETWEEN 2 AND 4 AND p_size % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS ru,
@@ -501,7 +501,7 @@ def plural_en(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plural_ru_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = pl.gettext_rule("nplurals=3; plural=(n%10==1 && n%100!=11 ? 0 : n%10>=2 && n%10<=4 && (n%100<10 || n%100>=20) ? 1 : 2);")
     n = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", pl.category_column("ru", n).alias("ru"), pl.category_column("ar", n).alias("ar"), rule.column(n).alias("gettext"))
+    return table(spark, sf_dir, "part").select("p_partkey", pl.category_column("ru", n, whole=True).alias("ru"), pl.category_column("ar", n, whole=True).alias("ar"), rule.column(n).alias("gettext"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 'no parts' WHEN p_size = 1 THEN '1 part' ELSE p_size || ' parts' END || ' of ' || p_brand AS text FROM part")

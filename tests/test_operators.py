@@ -187,6 +187,9 @@ def test_plural_categories(spark):
             own = locales[at : at + 10]
             for r in df.select("n", *[plural.category_column(x, F.col("n"), ordinal).alias(x) for x in own]).collect():
                 assert [r[x] for x in own] == [plural.plural_category(x, r.n, ordinal) for x in own], r
+    own = ["en", "ru", "ar", "sl", "fr", "lv", "kw"]
+    for r in spark.range(1100).select("id", *[plural.category_column(x, F.col("id"), whole=True).alias(x) for x in own]).collect():
+        assert [r[x] for x in own] == [plural.plural_category(x, r.id) for x in own], r
     assert [r[0] for r in spark.createDataFrame([("ru", "2"), ("en", "x"), (None, "1")], "l string, n string").select(plural.plural_udf()(F.col("l"), F.col("n"))).collect()] == ["few", None, None]
 
 
