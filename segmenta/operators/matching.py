@@ -50,8 +50,8 @@ def fuzzy(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, limit:
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    left = queries.select(*LOCALES, "source").distinct().withColumn("g", fx.trigrams(F.col("source"))).where(F.size("g") > 0)
-    right = memory.where("target IS NOT NULL").select(*LOCALES, "source").distinct().withColumn("g", fx.trigrams(F.col("source"))).where(F.size("g") > 0)
+    left = queries.select(*LOCALES, "source").distinct().withColumn("g", fx.trigram_codes(F.lower("source"))).where(F.size("g") > 0)
+    right = memory.where("target IS NOT NULL").select(*LOCALES, "source").distinct().withColumn("g", fx.trigram_codes(F.lower("source"))).where(F.size("g") > 0)
     seen = left.select(*LOCALES, F.explode("g").alias("gram")).unionByName(right.select(*LOCALES, F.explode("g").alias("gram"))).groupBy(*LOCALES, "gram").agg(F.count("*").alias("n"))
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
@@ -61,7 +61,9 @@ def fuzzy(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, limit:
         return grams.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).select(*LOCALES, "gram", name, f"n_{name}")
 
     pairs = prefixes(left, "a").join(prefixes(right, "b"), [*LOCALES, "gram"]).where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9).select(*LOCALES, "a", "b").distinct()
-    near = pairs.withColumn("score", fx.trigram_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= F.lit(threshold))
+    sides = pairs.join(left.select(*LOCALES, F.col("source").alias("a"), F.col("g").alias("ga")), [*LOCALES, "a"]).join(right.select(*LOCALES, F.col("source").alias("b"), F.col("g").alias("gb")), [*LOCALES, "b"])
+    both = F.size(F.array_intersect("ga", "gb"))
+    near = sides.withColumn("both", both).withColumn("score", F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).where(F.col("score") >= F.lit(threshold)).select(*LOCALES, "a", "b", "score")
     rows = near.join(memory.where("target IS NOT NULL").select(*LOCALES, F.col("source").alias("b"), "unit_id", "target", "usage_count"), [*LOCALES, "b"])
     best = Window.partitionBy(*LOCALES, "a").orderBy(F.desc("score"), F.desc("usage_count"), "unit_id")
     top = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).select(*LOCALES, F.col("a").alias("source"), "unit_id", "target", "score")

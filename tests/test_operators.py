@@ -40,6 +40,8 @@ def test_scalar_functions(spark):
     got = df.select("a", "b", fx.trigram_similarity(F.col("a"), F.col("b")).alias("s"), fx.seq_ratio("a", "b").alias("r")).collect()
     assert all(abs(r.s - similarity(r.a, r.b)) < 1e-12 and r.r == fx.ratio(r.a, r.b) for r in got)
     assert abs(similarity("Hello worlds", "Hello world") - 11 / 14) < 1e-12
+    same = df.select("a", F.size(fx.trigrams(F.col("a"))).alias("n"), F.size(fx.trigram_codes(F.lower("a"))).alias("m")).collect()
+    assert all(r.n == r.m == len(grams(r.a)) for r in same)
     loc = spark.createDataFrame([("EN_us",), ("zh-hant-tw",), ("fr",), ("",), (None,)], "l string")
     assert [r[0] for r in loc.select(fx.canonical_locale(F.col("l"))).collect()] == ["en-US", "zh-Hant-TW", "fr", "", None]
     assert fx.header_locale("en_us") == "en-US" and fx.header_locale("status") == "" and fx.header_locale("es-419") == "es-419"
