@@ -4,8 +4,9 @@ A document's shingles are the hashes of its runs of SHINGLE words, as a set.  Ea
 of PERMUTATIONS universal hashes h -> ((a h + b) mod 2^64) div 2^32, a odd, keeps its
 least value; BANDS bands of the signature are joined in Spark, and the
 Jaccard similarity of the whole shingle sets decides.  Documents with equal sets
-are joined by a hash of the set, and one stands for all of them.  The result names
-groups, not pairs, as the pairs of a group of copies grow with its square.
+are joined by a hash of the set, and one stands for all of them.  Every pair of
+distinct sets that agrees in a band is verified and given, as a list of partners of
+each set; copies name their set, as the pairs of a group of copies grow with its square.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ THRESHOLD = 0.7
 BROADCAST_ROWS = 1_000_000
 #: Sets that one task compares, which bounds its memory.
 CELL = 20_000
+#: Shingles that are looked up at once, about, beyond those of one set.
+GATHER = 1 << 22
 _RNG = np.random.Generator(np.random.PCG64(1061))
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -101,77 +104,75 @@ def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool) -> Da
     return map_batches(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """The similarity of two sets of shingles in order."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-    return both / max(1, len(x) + len(y) - both)
-
-
 def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links (a, b, jaccard) of a forest with the same components as all similar pairs that share a band.
+    """(set, set_id, jaccard): for each set the similar sets that share a band with it, and their similarities.
 
-    A pair that earlier links connect already isn't compared; one that was compared
-    isn't compared again.
+    Every pair that shares a band is compared once, whatever else is similar; in the
+    task of two parts, only pairs across them.
     """
-    n = len(rows)
-    sets = rows["set"].to_numpy()
+    n, across = len(rows), len(rows) > 0 and rows["p"].iloc[0] != rows["q"].iloc[0]
+    sets, part = rows["set"].to_numpy(), rows["part"].to_numpy()
     shingles = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
     bands = np.stack(rows["bands"].to_numpy())
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    failed: set[tuple[int, int]] = set()
-    links = []
+    sizes = np.array([len(x) for x in shingles])
+    begin = np.cumsum(sizes) - sizes
+    words, code = np.unique(np.concatenate(shingles), return_inverse=True)
+    shared: list[list[np.ndarray]] = [[] for _ in range(n)]
     for k in range(bands.shape[1]):
         order = np.argsort(bands[:, k], kind="stable")
         value = bands[order, k]
         edges = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            groups: dict[int, list[int]] = {}
-            for i in order[lo:hi].tolist():
-                for r in list(groups):
-                    if find(i) == find(r):
-                        continue
-                    for j in groups[r]:
-                        pair = (min(i, j), max(i, j))
-                        if pair in failed:
-                            continue
-                        s = jaccard(shingles[i], shingles[j])
-                        if s >= threshold:
-                            links.append((sets[i], sets[j], s))
-                            root[find(i)] = find(j)
-                            break
-                        failed.add(pair)
-                groups.setdefault(find(i), []).append(i)
-                if len(groups) > 1:
-                    merged: dict[int, list[int]] = {}
-                    for r, members in groups.items():
-                        merged.setdefault(find(r), []).extend(members)
-                    groups = merged
-    return pd.DataFrame(links, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+            if hi - lo > 1:
+                members = order[lo:hi]  # in order, as the sort is stable
+                for at, i in enumerate(members[:-1].tolist()):
+                    shared[i].append(members[at + 1 :])
+    mark = np.zeros(len(words), bool)
+    found = []
+    for i in range(n):
+        if not shared[i]:
+            continue
+        other = np.unique(np.concatenate(shared[i]))
+        shared[i] = []
+        # the ratio of sizes bounds the similarity
+        other = other[np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i])]
+        if across:
+            other = other[part[other] != part[i]]
+        own = code[begin[i] : begin[i] + sizes[i]]
+        mark[own] = True
+        for j in np.split(other, np.flatnonzero(np.diff(np.cumsum(sizes[other]) // GATHER)) + 1):
+            if len(j):
+                first = np.cumsum(sizes[j]) - sizes[j]
+                both = np.add.reduceat(mark[code[np.repeat(begin[j] - first, sizes[j]) + np.arange(sizes[j].sum())]], first, dtype=np.int64)
+                s = both / (sizes[i] + sizes[j] - both)
+                ok = s >= threshold
+                if ok.any():
+                    found.append((np.full(int(ok.sum()), i), j[ok], s[ok]))
+        mark[own] = False
+    if not found:
+        none = pd.Series([], dtype=object)
+        return pd.DataFrame({"set": np.zeros(0, np.int64), "set_id": none, "jaccard": none})
+    x, y, s = (np.concatenate(c) for c in zip(*found, strict=True))
+    x, y, s = np.concatenate([x, y]), np.concatenate([y, x]), np.round(np.concatenate([s, s]), 6)
+    order = np.argsort(x, kind="stable")
+    mine, at = np.unique(x[order], return_index=True)
+    return pd.DataFrame({"set": sets[mine], "set_id": np.split(sets[y[order]], at[1:]), "jaccard": np.split(s[order], at[1:])})
 
 
 def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id, group_size, jaccard) of every row that is similar to another.
+    """(doc_id, group_id, group_size, jaccard, set_id, partners) of every row that is similar to another.
 
     Two rows are similar when the Jaccard similarity of their shingle sets is
     ``threshold`` at least and a band of their signatures agrees; a group is a
     connected component of similar rows, named by its least doc_id (nulls last).
-    ``jaccard`` is the greatest similarity found on the links that hold the row in its
-    group, 1 for rows with equal sets.  No partner is capped or left out: pairs that
-    other links connect already are in the group without being compared.  Null texts
-    and texts without words are in no group.  Repeated rows are similar to each other.
-    An empty table gives no rows.  Other columns are ignored.
+    ``jaccard`` is the row's greatest similarity to another row, 1 for rows with equal
+    sets.  ``set_id`` is a hash of the set, alike for equal sets.  ``partners`` has the
+    (set_id, jaccard) of every other similar set, in order; of rows with equal sets the
+    first by doc_id has it and the others have null.  So all pairs of similar rows
+    follow from the rows: no partner is capped or left out, and a pair is compared
+    whatever other pairs connect.  Null texts and texts without words are in no group.
+    Repeated rows are similar to each other.  An empty table gives no rows.  Other
+    columns are ignored.
 
     Documents connected by bands are compared in one task, which gets each set once;
     a component of more than CELL sets is divided into parts, with a task for each
@@ -193,16 +194,19 @@ def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     # a set of part p is in the tasks (p, q) of all q, with the lesser part first
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
-    sent = found.select("set", "bands", "shingles", "root", F.explode(tasks).alias("t")).select("set", "bands", "shingles", "root", "t.p", "t.q")
+    sent = found.select("set", "bands", "shingles", "root", part.alias("part"), F.explode(tasks).alias("t")).select("set", "bands", "shingles", "root", "part", "t.p", "t.q")
 
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _verified(frame, threshold)
 
-    links = cut(sent.groupBy("root", "p", "q").applyInPandas(run, "a bigint, b bigint, jaccard double"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "jaccard").groupBy("node").agg(F.max("jaccard").alias("jaccard"))
-    roots = components(links.select("a", "b"))
+    lists = cut(sent.groupBy("root", "p", "q").applyInPandas(run, "set bigint, set_id array<bigint>, jaccard array<double>"))
+    partners = lists.groupBy("set").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("set_id", "jaccard")))).alias("partners"))
+    roots = components(lists.select(F.col("set").alias("a"), F.explode("set_id").alias("b")).where("a < b"))
     held = prints.select("set", "doc_id").join(reps.select("set", "copies"), "set")
-    named = held.join(roots, held["set"] == roots["node"], "left").drop("node").join(ends, held["set"] == ends["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set"))
+    named = held.join(roots, held["set"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set"))
     w = Window.partitionBy("root")
-    best = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.round("jaccard", 6))
-    return named.select("doc_id", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), best.alias("jaccard")).where("group_size > 1")
+    first = F.row_number().over(Window.partitionBy("set").orderBy(F.col("doc_id").asc_nulls_last())) == 1
+    rows = named.select("doc_id", "set", "copies", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), first.alias("first")).where("group_size > 1")
+    best = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.array_max("partners.jaccard"))
+    none = F.array().cast("array<struct<set_id:bigint,jaccard:double>>")
+    return rows.join(partners, "set", "left").select("doc_id", "group_id", "group_size", best.alias("jaccard"), F.col("set").alias("set_id"), F.when(F.col("first"), F.coalesce("partners", none)).alias("partners"))

@@ -188,6 +188,37 @@ def test_minhash_recall_and_precision(spark, monkeypatch):
             assert top[d] == top[g]  # nothing is joined that brute force keeps apart
 
 
+def test_minhash_gives_every_pair(spark, monkeypatch):
+    rng = random.Random(31)
+    base = prose(rng, 200).split()
+    texts = [prose(rng, 150) for _ in range(20)]
+    for k in (0, 0, 1, 2, 2, 3, 4, 5):  # each is similar to the others, in different degrees
+        w = list(base)
+        for at in rng.sample(range(len(w)), k):
+            w[at] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    sim = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    close = {(i, j): sim(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and sim(i, j) >= 0.7}
+    seen = []
+    for cell in (20_000, 3):
+        monkeypatch.setattr(minhash, "CELL", cell)
+        rows = minhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()
+        of = {}
+        for r in rows:
+            of.setdefault(r.set_id, []).append(r.doc_id)
+        got = {}
+        for r in rows:
+            assert (r.partners is None) == (r.doc_id != min(of[r.set_id]))
+            got |= {(i, j): 1.0 for i in of[r.set_id] for j in of[r.set_id] if i != j}
+            got |= {(i, j): p.jaccard for p in r.partners or [] for i in of[r.set_id] for j in of[p.set_id]}
+        assert got.keys() <= close.keys() and len(got) >= 0.9 * len(close) and len(close) > 40
+        assert all(abs(s - close[pair]) < 1e-6 for pair, s in got.items())
+        assert all(r.jaccard == max(s for (i, _), s in got.items() if i == r.doc_id) for r in rows)
+        seen.append(got)
+    assert seen[0] == seen[1]  # the size of parts changes nothing
+
+
 def test_edge_cases_of_fingerprints(spark):
     rows = [(1, "same words here"), (1, "same words here"), (None, "same words here"), (2, None), (3, ""), (4, "?!"), (5, "é" * 30_000), (6, "é" * 30_000)]
     docs = frame(spark, rows).withColumn("set", F.lit("x")).withColumn("rk", F.lit(0)).withColumn("node", F.lit(0)).withColumn("root", F.lit(0))
