@@ -28,6 +28,9 @@ BANDS = 16
 ROWS = 5
 PERMUTATIONS = BANDS * ROWS
 THRESHOLD = 0.7
+#: (threshold, bands, rows of a band) that find edited copies: a changed word takes SHINGLE shingles away on both
+#: sides, so one word in 17 changed leaves about 0.59, one in 24 about 0.68; 26 bands of 3 rows find 0.5 with probability 0.969.
+EDITED = (0.5, 26, 3)
 #: Ids that are broadcast at most (8 bytes each); beyond that, texts are joined with them by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sets that one task compares, which bounds its memory.
@@ -50,15 +53,15 @@ def shingle_sets(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.searchsorted(keys >> np.uint64(32), np.arange(len(counts) + 1, dtype=np.uint64)))
 
 
-def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(texts, PERMUTATIONS) least permuted values; texts without shingles have the greatest."""
-    out = np.full((len(counts), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+def signatures(flat: np.ndarray, counts: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """(texts, permutations) least permuted values, of PERMUTATIONS at most; texts without shingles have the greatest."""
+    out = np.full((len(counts), permutations), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
     begin = np.cumsum(counts)[some] - counts[some]
     x = flat.astype(np.uint64)
-    for i in range(PERMUTATIONS):
+    for i in range(permutations):
         y = x * _A[i]
         y += _B[i]
         y >>= np.uint64(32)
@@ -73,7 +76,7 @@ def set_hash(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tk.mix64(sums[end] - sums[end - counts] + counts.astype(np.uint64))
 
 
-def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool) -> DataFrame:
+def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     schema = "doc_id bigint, set bigint, size int" + (", bands array<bigint>" if with_bands else "") + (", shingles binary" if with_sets else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -81,14 +84,14 @@ def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool) -> Da
         for batch in batches:
             body, offs = tk.raw(batch.column(1))
             n = len(offs) - 1
-            key, size, bands, sets = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, BANDS), np.uint64), []
+            key, size, bands, sets = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, n_bands), np.uint64), []
             for a, b in tk.pieces(offs):
                 flat, counts = shingle_sets(body[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 key[a:b], size[a:b] = set_hash(flat, counts), counts
                 if with_bands:
-                    s = signatures(flat, counts).astype(np.uint64).reshape(b - a, BANDS, ROWS)
-                    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b - a, BANDS)).copy()
-                    for r in range(ROWS):
+                    s = signatures(flat, counts, n_bands * n_rows).astype(np.uint64).reshape(b - a, n_bands, n_rows)
+                    h = np.broadcast_to(np.arange(n_bands, dtype=np.uint64), (b - a, n_bands)).copy()
+                    for r in range(n_rows):
                         h = tk.mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r] + np.uint64(r))
                     bands[a:b] = h
                 if with_sets:
@@ -96,7 +99,7 @@ def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool) -> Da
                     sets += [flat[e - k : e].tobytes() for e, k in zip(end, counts, strict=True)]
             cols = [batch.column(0), pa.array(key.view(np.int64)), pa.array(size)]
             if with_bands:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel())))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(bands.view(np.int64).ravel())))
             if with_sets:
                 cols.append(pa.array(sets, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -159,7 +162,7 @@ def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"set": sets[mine], "set_id": np.split(sets[y[order]], at[1:]), "jaccard": np.split(s[order], at[1:])})
 
 
-def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_groups(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, group_id, group_size, jaccard, set_id, partners) of every row that is similar to another.
 
     Two rows are similar when the Jaccard similarity of their shingle sets is
@@ -178,10 +181,11 @@ def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     a component of more than CELL sets is divided into parts, with a task for each
     pair of parts.
     """
-    prints = cut(_fingerprints(documents, True, False).where("size > 0"))
+    if bands < 1 or rows < 1 or bands * rows > PERMUTATIONS:
+        raise ValueError("bands times rows must be between 1 and PERMUTATIONS")
+    prints = cut(_fingerprints(documents, True, False, bands, rows).where("size > 0"))
     reps = cut(prints.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
-    rows = reps.select(F.explode("bands").alias("band"), "set")
-    star = rows.groupBy("band").agg(F.collect_set("set").alias("sets")).where(F.size("sets") > 1).select(F.array_min("sets").alias("a"), F.explode("sets").alias("b"))
+    star = reps.select(F.explode("bands").alias("band"), "set").groupBy("band").agg(F.collect_set("set").alias("sets")).where(F.size("sets") > 1).select(F.array_min("sets").alias("a"), F.explode("sets").alias("b"))
     near = components(star)  # candidates: every set with a partner in some band
     sizes = near.groupBy("root").agg(F.count("*").alias("members"))
     candidates = near.unionByName(sizes.select(F.col("root").alias("node"), "root")).join(sizes.withColumn("parts", F.ceil((F.col("members") + 1) / F.lit(CELL)).cast("int")), "root").select(F.col("node").alias("set"), "root", "parts")
@@ -190,7 +194,7 @@ def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     ids = wanted.select(F.col("doc_id").alias("_id"))
     side = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     again = documents.join(side, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    found = _fingerprints(again, True, True).select("set", "bands", "shingles").join(wanted.select("set", "root", "parts"), "set").dropDuplicates(["set"])
+    found = _fingerprints(again, True, True, bands, rows).select("set", "bands", "shingles").join(wanted.select("set", "root", "parts"), "set").dropDuplicates(["set"])
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     # a set of part p is in the tasks (p, q) of all q, with the lesser part first
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
@@ -206,7 +210,7 @@ def similar_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     named = held.join(roots, held["set"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set"))
     w = Window.partitionBy("root")
     first = F.row_number().over(Window.partitionBy("set").orderBy(F.col("doc_id").asc_nulls_last())) == 1
-    rows = named.select("doc_id", "set", "copies", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), first.alias("first")).where("group_size > 1")
+    grouped = named.select("doc_id", "set", "copies", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), first.alias("first")).where("group_size > 1")
     best = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.array_max("partners.jaccard"))
     none = F.array().cast("array<struct<set_id:bigint,jaccard:double>>")
-    return rows.join(partners, "set", "left").select("doc_id", "group_id", "group_size", best.alias("jaccard"), F.col("set").alias("set_id"), F.when(F.col("first"), F.coalesce("partners", none)).alias("partners"))
+    return grouped.join(partners, "set", "left").select("doc_id", "group_id", "group_size", best.alias("jaccard"), F.col("set").alias("set_id"), F.when(F.col("first"), F.coalesce("partners", none)).alias("partners"))

@@ -35,7 +35,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.similar_groups(table(spark, sf_dir, "documents"))
+    return minhash.similar_groups(table(spark, sf_dir, "documents"), *minhash.EDITED)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from segmenta.llm import decontamination as dec
 from segmenta.llm import minhash, simhash
+from segmenta.llm import queries as llm_queries
 from segmenta.llm import textkernel as tk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -219,6 +220,22 @@ def test_minhash_gives_every_pair(spark, monkeypatch):
     assert seen[0] == seen[1]  # the size of parts changes nothing
 
 
+def test_minhash_query_finds_planted_edits(spark, tmp_path):
+    rng = random.Random(77)
+    rows, planted = [], []
+    for n, edits in [(70, 3), (176, 7), (584, 24), (120, 6)] * 15:  # the first three as in the test tables, Jaccard 0.65 to 0.69
+        w = prose(rng, n).split()
+        v = list(w)
+        for at in rng.sample(range(n), edits):
+            v[at] = f"edited{len(rows)}x{at}"
+        planted.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    group = {r.doc_id: r.group_id for r in llm_queries.op7_minhash(spark, str(tmp_path)).collect()}
+    assert sum(i in group and group[i] == group.get(j) for i, j in planted) >= 0.9 * len(planted)
+    assert all(g == d - d % 2 for d, g in group.items())
+
+
 def test_edge_cases_of_fingerprints(spark):
     rows = [(1, "same words here"), (1, "same words here"), (None, "same words here"), (2, None), (3, ""), (4, "?!"), (5, "é" * 30_000), (6, "é" * 30_000)]
     docs = frame(spark, rows).withColumn("set", F.lit("x")).withColumn("rk", F.lit(0)).withColumn("node", F.lit(0)).withColumn("root", F.lit(0))
