@@ -358,10 +358,14 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose names are like a supplier's, by sequence ratio."""
+    """For every part, the parts whose names are like its name and type, by sequence ratio.
+
+    The type keeps names from being exact hits, so the search runs for every part; equal texts are searched once.
+    """
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source"))
-    s = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_name").alias("source")).select(F.col("p_brand").alias("query_id"), "source")
-    return matching.fuzzy_find(s, p, 0.6, 3)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("source"))
+    found = matching.fuzzy_find(rows.select(F.col("source").alias("query_id"), "source").distinct(), p, 0.6, 3)
+    return rows.join(found.withColumnRenamed("query_id", "source"), "source").select("query_id", "unit_id", "score", "kind")
 
 
 @query()

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from segmenta import queries as core
 from segmenta.functions import message, plural
 from segmenta.functions import text as fx
 from segmenta.operators import lookup, matching, memory, targets
@@ -113,6 +114,19 @@ def test_fuzzy_find(spark):
     assert {r.unit_id for r in matching.fuzzy_find(q, u, 0.6, 2).where("query_id = 'a'").collect()} == {"u0", "u2"}
 
 
+def test_fuzzy_find_query_takes_every_part(spark, tmp_path):
+    names, types = ["blue anvil", "old plate", "hot bolt", "cold ring"], ["SMALL", "ECONOMY", "STANDARD"]
+    rows = [(i, names[i % 4], types[i % 3], f"Brand#{i % 2}") for i in range(30)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.query_id, r.unit_id): (round(r.score, 9), r.kind) for r in core.fuzzy_find(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, name, kind, _ in rows:
+        q = f"{name} {kind}".lower()
+        near = [(-fx.ratio(q, u), j) for j, u, _, _ in rows if set(q.split()) & set(u.split())]
+        want |= {(i, j): (round(-s, 9), "fuzzy") for s, j in sorted(x for x in near if -x[0] >= 0.6)[:3]}
+    assert got == want and {i for i, _ in got} == set(range(30))
+
+
 def test_targets(spark):
     u = units_frame(spark, [unit(unit_id="a", source="s", status="draft", target_locales=["fr", "de"], extensions={"e": "1"}, targets={"fr": {"text": "F", "status": "unknown", "extensions": {"e": "2"}}, "de": {"text": "D", "status": "approved", "extensions": {}}}), unit(unit_id="b", source="t", target="legacy", status="new")])
     assert [(r.target, r.extensions["e"], r.status) for r in targets.select_target(u, "fr").collect()] == [("F", "2", "unknown")]
