@@ -21,10 +21,11 @@ from segmenta.llm.common import DOCUMENT_COLUMNS, map_batches
 
 HIDDEN = 16
 WINDOW = 64
-#: The bound of the training sample: documents of a language, windows of a document, languages.
+#: The bound of the training sample: documents of a language, windows of a document.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_WINDOWS = 8
-MAX_LANGUAGES = 32
+#: Beyond so many languages, training takes more steps and texts are run in smaller pieces, in proportion.
+USUAL_LANGUAGES = 32
 STEPS = 150
 BATCH = 384
 #: Documents whose best language has less are rejected.
@@ -177,11 +178,12 @@ def pooled(p: Params, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     body, offs = tk.raw(column)
     n, k = len(offs) - 1, len(p["c"])
     mean, share = np.zeros((n, k)), np.zeros((n, k))
-    for a, b in tk.pieces(offs, RUN_BYTES):
+    run = max(WINDOW, RUN_BYTES * USUAL_LANGUAGES // max(USUAL_LANGUAGES, k))
+    for a, b in tk.pieces(offs, run):
         windows, counts = _windows(body[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         doc = np.repeat(np.arange(a, b), counts)
-        for s in range(0, len(windows), RUN_BYTES // WINDOW):
-            part = windows[s : s + RUN_BYTES // WINDOW]
+        for s in range(0, len(windows), run // WINDOW):
+            part = windows[s : s + run // WINDOW]
             text = part.T != 0
             q = probabilities(p, part)
             q *= text
@@ -206,16 +208,14 @@ def position_labels(p: Params, text: str) -> np.ndarray:
 def fit(documents: DataFrame) -> tuple[list[str], Params | None]:
     """(languages, network) from the documents that have a language.
 
-    The driver gets SAMPLE_DOCUMENTS times SAMPLE_WINDOWS windows of each of
-    MAX_LANGUAGES languages (the most frequent), about, whatever the table's size.
+    Every language is a class.  The driver gets SAMPLE_DOCUMENTS times SAMPLE_WINDOWS
+    windows of each, about, whatever the table's size.
     """
-    counts = documents.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = documents.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().collect()
     names = sorted(r[0] for r in counts)
     if not names:
         return [], None
-    share = F.lit(None)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCUMENTS / n))).otherwise(share)
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, SAMPLE_DOCUMENTS / n))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < share * F.lit(1 << 20)
     index = {name: i for i, name in enumerate(names)}
 
@@ -235,7 +235,7 @@ def fit(documents: DataFrame) -> tuple[list[str], Params | None]:
         return names, None
     windows = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
     labels = np.array([r[0] for r in rows])
-    return names, train(windows, labels, len(names))
+    return names, train(windows, labels, len(names), -(-STEPS * max(USUAL_LANGUAGES, len(names)) // USUAL_LANGUAGES))
 
 
 def _judge(names: list[str], p: Params | None, text: pa.Array) -> tuple[list, list, list, list]:

@@ -97,6 +97,21 @@ def toxic_rows(rng, n, base=0):
     return rows, labels
 
 
+def test_every_labelled_language_is_detected(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):  # the last eight have the fewest documents
+        letters = [chr(0x4E00 + 64 * k + i) for i in range(12)]
+        for _ in range(16 if k < 32 else 12):
+            rows.append((len(rows), "".join(rng.choice(letters, 100)), f"l{k:02}", "s", 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names, p = langid.fit(docs)
+    assert names == [f"l{k:02}" for k in range(40)] and len(p["c"]) == 40
+    mean = langid.pooled(p, pa.array([r[1] for r in rows]))[0]
+    right = [names[j] == r[2] for j, r in zip(mean.argmax(axis=1), rows, strict=True)]
+    assert np.mean(right) > 0.9 and np.mean(right[32 * 16 :]) > 0.9
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(7)
     rows, labels = toxic_rows(rng, 500)
