@@ -356,6 +356,15 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.token_candidates(q, p.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source")))
 
 
+@query()
+def token_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``token_candidates``, with every part as a query; equal texts are searched once."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("source"))
+    found = matching.token_candidates(rows.select(F.col("source").alias("query_id"), "source").distinct(), p.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source")))
+    return rows.join(found.withColumnRenamed("query_id", "source"), "source").select("query_id", "unit_id", "shared", "ordinal")
+
+
 @query()
 def fuzzy_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every part, the parts whose names are like its name and type, by sequence ratio.
