@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of one Arrow batch, so that a batch of long texts stays small in a Python worker.
-BATCH_ROWS = "400"
+#: Rows that a function gets at once, so that what it makes of a batch stays small in a Python worker.
+BATCH_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches, unless the session has its own batch size."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` over batches of BATCH_ROWS rows at most, whatever batch size the session has."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+
+    return df.mapInArrow(lambda batches: run(sliced(batches)), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,9 +69,10 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_key(df: DataFrame) -> Column:
-    """One number for each row of documents; equal rows have equal keys."""
-    return F.xxhash64(*[df[c] for c in DOCUMENT_COLUMNS])
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two numbers, 128 bits together, for each row of documents; equal rows have equal ones."""
+    values = [df[c] for c in DOCUMENT_COLUMNS]
+    return F.xxhash64(*values), F.xxhash64(F.lit(1), *reversed(values))
 
 
 def word_count(text: Column) -> Column:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.llm import textkernel as tk
@@ -31,10 +31,9 @@ THRESHOLD = 0.7
 #: (threshold, bands, rows of a band) that find edited copies: a changed word takes SHINGLE shingles away on both
 #: sides, so one word in 17 changed leaves about 0.59, one in 24 about 0.68; 26 bands of 3 rows find 0.5 with probability 0.969.
 EDITED = (0.5, 26, 3)
-#: Ids that are broadcast at most (8 bytes each); beyond that, texts are joined with them by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Sets that one task compares, which bounds its memory.
-CELL = 20_000
+#: Shingles that one task holds, about, with OWN for each set; a single set can have more.
+CELL = 8_000_000
+OWN = 100
 #: Shingles that are looked up at once, about, beyond those of one set.
 GATHER = 1 << 22
 _RNG = np.random.Generator(np.random.PCG64(1061))
@@ -77,10 +76,12 @@ def set_hash(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
+    """(doc_id, set, size, bands, shingles) of each row; with ``with_sets``, of each set once in a task."""
     schema = "doc_id bigint, set bigint, size int" + (", bands array<bigint>" if with_bands else "") + (", shingles binary" if with_sets else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             body, offs = tk.raw(batch.column(1))
             n = len(offs) - 1
@@ -102,7 +103,14 @@ def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool, n_ban
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(bands.view(np.int64).ravel())))
             if with_sets:
                 cols.append(pa.array(sets, pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names)
+            made = pa.RecordBatch.from_arrays(cols, names)
+            if with_sets:
+                first = []
+                for x, k in zip(key.tolist(), size.tolist(), strict=True):
+                    first.append(k > 0 and x not in seen)
+                    seen.add(x)
+                made = made.filter(pa.array(first, pa.bool_()))
+            yield made
 
     return map_batches(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
 
@@ -111,9 +119,11 @@ def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(set, set_id, jaccard): for each set the similar sets that share a band with it, and their similarities.
 
     Every pair that shares a band is compared once, whatever else is similar; in the
-    task of two parts, only pairs across them.
+    task of two parts, only pairs across them; in the task of one band, only pairs
+    that share no earlier band.
     """
     n, across = len(rows), len(rows) > 0 and rows["p"].iloc[0] != rows["q"].iloc[0]
+    only = int(rows["band"].iloc[0]) if len(rows) else -1
     sets, part = rows["set"].to_numpy(), rows["part"].to_numpy()
     shingles = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
     bands = np.stack(rows["bands"].to_numpy())
@@ -121,7 +131,7 @@ def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     begin = np.cumsum(sizes) - sizes
     words, code = np.unique(np.concatenate(shingles), return_inverse=True)
     shared: list[list[np.ndarray]] = [[] for _ in range(n)]
-    for k in range(bands.shape[1]):
+    for k in range(bands.shape[1]) if only < 0 else [only]:
         order = np.argsort(bands[:, k], kind="stable")
         value = bands[order, k]
         edges = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
@@ -141,6 +151,8 @@ def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         other = other[np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i])]
         if across:
             other = other[part[other] != part[i]]
+        if only > 0:
+            other = other[~(bands[other, :only] == bands[i, :only]).any(axis=1)]
         own = code[begin[i] : begin[i] + sizes[i]]
         mark[own] = True
         for j in np.split(other, np.flatnonzero(np.diff(np.cumsum(sizes[other]) // GATHER)) + 1):
@@ -170,47 +182,54 @@ def similar_groups(documents: DataFrame, threshold: float = THRESHOLD, bands: in
     connected component of similar rows, named by its least doc_id (nulls last).
     ``jaccard`` is the row's greatest similarity to another row, 1 for rows with equal
     sets.  ``set_id`` is a hash of the set, alike for equal sets.  ``partners`` has the
-    (set_id, jaccard) of every other similar set, in order; of rows with equal sets the
-    first by doc_id has it and the others have null.  So all pairs of similar rows
+    (set_id, jaccard) of every other similar set, in order; of rows with equal sets those
+    with the least doc_id (nulls last) have it and the others have null.  So all pairs of similar rows
     follow from the rows: no partner is capped or left out, and a pair is compared
     whatever other pairs connect.  Null texts and texts without words are in no group.
     Repeated rows are similar to each other.  An empty table gives no rows.  Other
     columns are ignored.
 
-    Documents connected by bands are compared in one task, which gets each set once;
-    a component of more than CELL sets is divided into parts, with a task for each
-    pair of parts.
+    One plan serves tables of any size.  Bands link each set with the least set of the
+    band.  A component of linked sets that has CELL shingles at most is compared in
+    one task, which gets each set once.  A larger one is compared band by band, so a
+    set is sent once for each band that it shares; a band of more than CELL shingles
+    is divided into parts, with a task for each pair of parts.  Shingles are made
+    anew from the texts and shuffled once; texts are never shuffled.
     """
     if bands < 1 or rows < 1 or bands * rows > PERMUTATIONS:
         raise ValueError("bands times rows must be between 1 and PERMUTATIONS")
     prints = cut(_fingerprints(documents, True, False, bands, rows).where("size > 0"))
-    reps = cut(prints.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
-    star = reps.select(F.explode("bands").alias("band"), "set").groupBy("band").agg(F.collect_set("set").alias("sets")).where(F.size("sets") > 1).select(F.array_min("sets").alias("a"), F.explode("sets").alias("b"))
-    near = components(star)  # candidates: every set with a partner in some band
-    sizes = near.groupBy("root").agg(F.count("*").alias("members"))
-    candidates = near.unionByName(sizes.select(F.col("root").alias("node"), "root")).join(sizes.withColumn("parts", F.ceil((F.col("members") + 1) / F.lit(CELL)).cast("int")), "root").select(F.col("node").alias("set"), "root", "parts")
-    wanted = cut(candidates.join(reps.select("set", "doc_id"), "set"))
-    # few documents have candidates: their ids go to the texts, not the texts to them
-    ids = wanted.select(F.col("doc_id").alias("_id"))
-    side = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    again = documents.join(side, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    found = _fingerprints(again, True, True, bands, rows).select("set", "bands", "shingles").join(wanted.select("set", "root", "parts"), "set").dropDuplicates(["set"])
+    reps = cut(prints.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    load = F.col("size").cast("bigint") + OWN
+    each = reps.select("set", "size", F.posexplode("bands").alias("band", "value"))
+    hot = each.groupBy("band", "value").agg(F.min("set").alias("least"), F.count("*").alias("n"), F.sum(load).alias("load")).where("n > 1").drop("n")
+    shared = cut(each.join(hot, ["band", "value"]).select("set", "band", "value", "least", "load"))
+    near = components(shared.select(F.col("least").alias("a"), F.col("set").alias("b")))  # candidates: every set with a partner in some band
+    rooted = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set").join(reps.select("set", "size"), "set")
+    whole = rooted.groupBy("root").agg(F.sum(load).alias("all"))
+    wanted = cut(rooted.join(whole, "root").select("set", "root", (F.col("all") > CELL).alias("large")))
+    parts = F.ceil(F.col("load") / F.lit(CELL)).cast("int")
+    by_band = wanted.where("large").select("set").join(shared, "set").select("set", "band", F.col("value").alias("task"), parts.alias("parts"))
+    visits = wanted.where("NOT large").select("set", F.lit(-1).alias("band"), F.col("root").alias("task"), F.lit(1).alias("parts")).unionByName(by_band)
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     # a set of part p is in the tasks (p, q) of all q, with the lesser part first
-    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
-    sent = found.select("set", "bands", "shingles", "root", part.alias("part"), F.explode(tasks).alias("t")).select("set", "bands", "shingles", "root", "part", "t.p", "t.q")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
+    visits = visits.select("set", "band", "task", part.alias("part"), F.explode(pairs).alias("t")).select("set", "band", "task", "part", "t.p", "t.q")
+    found = _fingerprints(documents, True, True, bands, rows).select("set", "bands", "shingles")
+    held = found.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    sent = held.join(visits, "set")
 
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _verified(frame, threshold)
 
-    lists = cut(sent.groupBy("root", "p", "q").applyInPandas(run, "set bigint, set_id array<bigint>, jaccard array<double>"))
+    lists = cut(sent.groupBy("band", "task", "p", "q").applyInPandas(run, "set bigint, set_id array<bigint>, jaccard array<double>"))
     partners = lists.groupBy("set").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("set_id", "jaccard")))).alias("partners"))
     roots = components(lists.select(F.col("set").alias("a"), F.explode("set_id").alias("b")).where("a < b"))
-    held = prints.select("set", "doc_id").join(reps.select("set", "copies"), "set")
-    named = held.join(roots, held["set"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set"))
-    w = Window.partitionBy("root")
-    first = F.row_number().over(Window.partitionBy("set").orderBy(F.col("doc_id").asc_nulls_last())) == 1
-    grouped = named.select("doc_id", "set", "copies", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), first.alias("first")).where("group_size > 1")
+    # groups are made of sets, copies having been counted, and rows only look up their set
+    placed = reps.select("set", "doc_id", "copies").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    sizes = placed.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size")).where("group_size > 1")
     best = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.array_max("partners.jaccard"))
     none = F.array().cast("array<struct<set_id:bigint,jaccard:double>>")
-    return grouped.join(partners, "set", "left").select("doc_id", "group_id", "group_size", best.alias("jaccard"), F.col("set").alias("set_id"), F.when(F.col("first"), F.coalesce("partners", none)).alias("partners"))
+    of_set = placed.join(sizes, "root").join(partners, "set", "left").select("set", F.col("doc_id").alias("_first"), "group_id", "group_size", best.alias("jaccard"), F.coalesce("partners", none).alias("partners"))
+    mine = F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.col("partners"))
+    return prints.select("set", "doc_id").join(of_set, "set").select("doc_id", "group_id", "group_size", "jaccard", F.col("set").alias("set_id"), mine.alias("partners"))

@@ -23,17 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.llm import textkernel as tk
-from segmenta.llm.common import DOCUMENT_COLUMNS, cut, dropped, map_batches, row_key, written
+from segmenta.llm.common import DOCUMENT_COLUMNS, cut, dropped, map_batches, row_keys, written
 
 RADIUS = 22
 RATIO = 0.75
 #: Fingerprints in a cell, which bounds a task's memory and time.
 CELL = 40_000
 LEAF = 1024
+#: Steps of ``components`` at most; two to the power of half as many nodes can stand in a row.
+MAX_STEPS = 100
 _VANTAGE = (0x243F6A8885A308D3, 0x13198A2E03707344)
 _LANES = np.array([sum(((v >> (7 - bit)) & 1) << (8 * bit) for bit in range(8)) for v in range(256)], np.uint64)
 
@@ -80,16 +82,17 @@ def fingerprint_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(rk, doc_id, f0, f1, size) of each row; rk is the same for equal rows."""
-    keyed = documents.select(row_key(documents).alias("rk"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """(r0, r1, doc_id, f0, f1, size) of each row; r0 and r1 are the same for equal rows."""
+    r0, r1 = row_keys(documents)
+    keyed = documents.select(r0.alias("r0"), r1.alias("r1"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes = fingerprint_column(batch.column(2))
+            prints, sizes = fingerprint_column(batch.column(3))
             signed = np.ascontiguousarray(prints).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(sizes)], ["rk", "doc_id", "f0", "f1", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(sizes)], ["r0", "r1", "doc_id", "f0", "f1", "size"])
 
-    return map_batches(keyed, run, "rk bigint, doc_id bigint, f0 bigint, f1 bigint, size bigint")
+    return map_batches(keyed, run, "r0 bigint, r1 bigint, doc_id bigint, f0 bigint, f1 bigint, size bigint")
 
 
 # --- one task -------------------------------------------------------------------------------
@@ -225,11 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of the connected component of each node of (a, b).
 
     Large-star and small-star steps in turn, each written to the checkpoint folder,
-    until the edges stay as they are; then they are stars.
+    until the edges stay as they are; then they are stars.  The number of steps grows
+    with the logarithm of the longest path; edges that still change after MAX_STEPS
+    are an error.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(60):
+    for _ in range(MAX_STEPS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -241,37 +246,47 @@ def components(edges: DataFrame) -> DataFrame:
         if state == now:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _prints_and_roots(documents: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataFrame]:
-    prints = cut(fingerprints(documents).withColumn("node", F.xxhash64("f0", "f1", "size")))
-    nodes = prints.where("size > 0").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("size").alias("size"))
-    return prints, components(near_pairs(cut(nodes), radius, ratio, forest=True))
+def _groups(documents: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(prints of all rows, (node, group_id, group_size, first) of each node); first is the row that its group keeps.
+
+    Rows of a fingerprint are counted before anything is grouped, so a group of copies is one row here.
+    """
+    prints = cut(fingerprints(documents).withColumn("node", F.xxhash64("f0", "f1", "size")).withColumn("n", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r0", "r1", "n")).alias("first")
+    nodes = cut(prints.where("size > 0").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("size").alias("size"), first, F.count("*").alias("rows")))
+    roots = components(near_pairs(nodes, radius, ratio, forest=True))
+    placed = nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("group_size"))
+    return prints, placed.select("node", "root").join(groups, "root").select("node", F.col("first.doc_id").alias("group_id"), "group_size", "first")
 
 
 def near_groups(documents: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """(doc_id, group_id, group_size, kept) of every row that has a near duplicate.
 
     A group is a connected component of near-duplicate pairs; ``group_id`` is its
-    least doc_id.  One row of it is kept: the least doc_id, nulls last.  Equal rows
-    are copies of each other.  Null texts and texts without words are in no group.
-    An empty table gives no rows.  Other columns are ignored.
+    least doc_id.  One row of it is kept: the least doc_id, nulls last; of equal rows,
+    any.  Equal rows are copies of each other.  Null texts and texts without words are
+    in no group.  An empty table gives no rows.  Other columns are ignored.
     """
-    prints, roots = _prints_and_roots(documents, radius, ratio)
-    grouped = prints.where("size > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    w = Window.partitionBy("root")
-    first = F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "rk"))
-    return grouped.select("doc_id", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), (first == 1).alias("kept")).where("group_size > 1")
+    prints, groups = _groups(documents, radius, ratio)
+    found = groups.where("group_size > 1").select("node", "group_id", "group_size", F.col("first.n").alias("_n"))
+    return prints.select("node", "doc_id", "n").join(found, "node").select("doc_id", "group_id", "group_size", (F.col("n") == F.col("_n")).alias("kept"))
 
 
 def dedup(documents: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """The documents without near duplicates: of each group the row that ``near_groups`` keeps.
 
-    Texts without words stay, once for equal rows.  Columns are those of documents.
+    Null texts and texts without words stay, once for equal rows.  A row is known by 128
+    bits of hashes of its values.  Columns are those of documents, unchanged; others are
+    left out, whatever their names.  An empty table stays empty.
     """
-    prints, roots = _prints_and_roots(documents, radius, ratio)
-    grouped = prints.join(roots, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")).otherwise(F.col("rk")))
-    pick = grouped.groupBy("root", (F.col("size") > 0).alias("worded")).agg(F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("rk"))
+    prints, groups = _groups(documents, radius, ratio)
+    pick = groups.select("first.r0", "first.r1").unionByName(prints.where("size = 0").select("r0", "r1")).distinct()
     whole = documents.select(*DOCUMENT_COLUMNS)
-    return whole.withColumn("rk", row_key(whole)).join(pick.select("rk"), "rk").dropDuplicates(["rk"]).select(*DOCUMENT_COLUMNS)
+    r0, r1 = row_keys(whole)
+    return whole.withColumn("r0", r0).withColumn("r1", r1).join(pick, ["r0", "r1"], "left_semi").dropDuplicates(["r0", "r1"]).select(*DOCUMENT_COLUMNS)
