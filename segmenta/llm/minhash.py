@@ -75,6 +75,15 @@ def set_hash(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tk.mix64(sums[end] - sums[end - counts] + counts.astype(np.uint64))
 
 
+def _shrunk(values: np.ndarray) -> bytes:
+    """Numbers in ascending order as differences, byte plane by byte plane, which the shuffle's compression shortens."""
+    return np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _grown(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """(doc_id, set, size, bands, shingles) of each row; with ``with_sets``, of each set once in a task."""
     schema = "doc_id bigint, set bigint, size int" + (", bands array<bigint>" if with_bands else "") + (", shingles binary" if with_sets else "")
@@ -97,7 +106,7 @@ def _fingerprints(documents: DataFrame, with_bands: bool, with_sets: bool, n_ban
                     bands[a:b] = h
                 if with_sets:
                     end = np.cumsum(counts)
-                    sets += [flat[e - k : e].tobytes() for e, k in zip(end, counts, strict=True)]
+                    sets += [_shrunk(flat[e - k : e]) for e, k in zip(end, counts, strict=True)]
             cols = [batch.column(0), pa.array(key.view(np.int64)), pa.array(size)]
             if with_bands:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(bands.view(np.int64).ravel())))
@@ -125,7 +134,7 @@ def _verified(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     n, across = len(rows), len(rows) > 0 and rows["p"].iloc[0] != rows["q"].iloc[0]
     only = int(rows["band"].iloc[0]) if len(rows) else -1
     sets, part = rows["set"].to_numpy(), rows["part"].to_numpy()
-    shingles = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
+    shingles = [_grown(x) for x in rows["shingles"]]
     bands = np.stack(rows["bands"].to_numpy())
     sizes = np.array([len(x) for x in shingles])
     begin = np.cumsum(sizes) - sizes
@@ -200,22 +209,23 @@ def similar_groups(documents: DataFrame, threshold: float = THRESHOLD, bands: in
         raise ValueError("bands times rows must be between 1 and PERMUTATIONS")
     prints = cut(_fingerprints(documents, True, False, bands, rows).where("size > 0"))
     reps = cut(prints.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
-    load = F.col("size").cast("bigint") + OWN
-    each = reps.select("set", "size", F.posexplode("bands").alias("band", "value"))
-    hot = each.groupBy("band", "value").agg(F.min("set").alias("least"), F.count("*").alias("n"), F.sum(load).alias("load")).where("n > 1").drop("n")
-    shared = cut(each.join(hot, ["band", "value"]).select("set", "band", "value", "least", "load"))
+    each = reps.select("set", F.explode("bands").alias("value"))  # a value tells its band
+    hot = each.groupBy("value").agg(F.min("set").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = cut(each.join(hot, "value"))
     near = components(shared.select(F.col("least").alias("a"), F.col("set").alias("b")))  # candidates: every set with a partner in some band
-    rooted = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set").join(reps.select("set", "size"), "set")
+    load = F.col("size").cast("bigint") + OWN
+    rooted = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set").join(reps.select("set", "size", "bands"), "set")
     whole = rooted.groupBy("root").agg(F.sum(load).alias("all"))
-    wanted = cut(rooted.join(whole, "root").select("set", "root", (F.col("all") > CELL).alias("large")))
-    parts = F.ceil(F.col("load") / F.lit(CELL)).cast("int")
-    by_band = wanted.where("large").select("set").join(shared, "set").select("set", "band", F.col("value").alias("task"), parts.alias("parts"))
-    visits = wanted.where("NOT large").select("set", F.lit(-1).alias("band"), F.col("root").alias("task"), F.lit(1).alias("parts")).unionByName(by_band)
+    wanted = cut(rooted.join(whole, "root").select("set", "bands", load.alias("load"), "root", (F.col("all") > CELL).alias("large")))
+    by_band = wanted.where("large").select("set", "bands", "load").join(shared.select("set", "value"), "set")
+    parts = by_band.groupBy("value").agg(F.ceil(F.sum("load") / F.lit(CELL)).cast("int").alias("parts"))
+    by_band = by_band.join(parts, "value").select("set", "bands", (F.array_position("bands", F.col("value")) - 1).cast("int").alias("band"), F.col("value").alias("task"), "parts")
+    visits = wanted.where("NOT large").select("set", "bands", F.lit(-1).alias("band"), F.col("root").alias("task"), F.lit(1).alias("parts")).unionByName(by_band)
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     # a set of part p is in the tasks (p, q) of all q, with the lesser part first
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
-    visits = visits.select("set", "band", "task", part.alias("part"), F.explode(pairs).alias("t")).select("set", "band", "task", "part", "t.p", "t.q")
-    found = _fingerprints(documents, True, True, bands, rows).select("set", "bands", "shingles")
+    visits = visits.select("set", "bands", "band", "task", part.alias("part"), F.explode(pairs).alias("t")).select("set", "bands", "band", "task", "part", "t.p", "t.q")
+    found = _fingerprints(documents, False, True).select("set", "shingles")
     held = found.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
     sent = held.join(visits, "set")
 
