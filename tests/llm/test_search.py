@@ -134,12 +134,12 @@ def corpus(rng):
 def test_simhash_groups_equal_brute_force(spark, monkeypatch):
     texts = corpus(random.Random(8))
     prints, sizes = simhash.fingerprint_column(pa.array(texts))
-    dist = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum())
-    near = lambda i, j: sizes[i] and sizes[j] and dist(i, j) <= simhash.RADIUS and min(sizes[i], sizes[j]) >= simhash.RATIO * max(sizes[i], sizes[j])
+    dist = lambda i, j, k: int(np.bitwise_count(prints[i, k : k + 2] ^ prints[j, k : k + 2]).sum())
+    near = lambda i, j: sizes[i] and sizes[j] and dist(i, j, 0) <= simhash.RADIUS and dist(i, j, 2) <= simhash.COARSE and min(sizes[i], sizes[j]) >= simhash.RATIO * max(sizes[i], sizes[j])
     want = groups_of(len(texts), near)
     docs = frame(spark, list(enumerate(texts)))
     for cell in (simhash.CELL, 7):  # the second has many cells and boundary-overlapping shards
-        monkeypatch.setattr(simhash.near_pairs, "__defaults__", (simhash.RADIUS, simhash.RATIO, cell, False))
+        monkeypatch.setattr(simhash.near_pairs, "__defaults__", (simhash.RADIUS, simhash.RATIO, cell, False, simhash.COARSE))
         got = {}
         for r in simhash.near_groups(docs).collect():
             got.setdefault(r.group_id, []).append(r.doc_id)
@@ -150,14 +150,17 @@ def test_simhash_groups_equal_brute_force(spark, monkeypatch):
     assert kept == [i for i in range(len(texts)) if i not in gone]
 
 
-def test_tree_finds_all_pairs():
+def test_tree_finds_all_pairs_and_prunes():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
-    near = np.repeat(base, 60, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (2400, 2), dtype=np.uint64))
+    base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    near = np.repeat(base, 60, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (2400, 4), dtype=np.uint64))
     a, b = near[:900], near[600:]
-    i, j, d = simhash.tree_pairs(a, b, 6)
-    full = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
-    assert sorted(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == [(x, y, int(full[x, y])) for x, y in np.argwhere(full <= 6).tolist()]
+    work: list[int] = []
+    i, j, d = simhash.tree_pairs(a, b, 6, 3, 64, work)
+    full = np.bitwise_count(a[:, None, :] ^ b[None, :, :])
+    fine, coarse = full[:, :, :2].sum(axis=2), full[:, :, 2:].sum(axis=2)
+    assert sorted(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == [(x, y, int(fine[x, y])) for x, y in np.argwhere((fine <= 6) & (coarse <= 3)).tolist()]
+    assert sum(work) < 0.3 * len(a) * len(b)
 
 
 def test_minhash_recall_and_precision(spark, monkeypatch):
