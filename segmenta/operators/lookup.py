@@ -99,9 +99,35 @@ def generated_ids(units: DataFrame, prefix: str = "auto_") -> DataFrame:
 
 
 def suffixed_keys(rows: DataFrame, key: str, order: str, by: str = "doc_id") -> DataFrame:
-    """Repeated keys of a document get #2, #3, ... in order."""
+    """Repeated keys of a document get the next free of #2, #3, ... in order.
+
+    A key that already ends in such a suffix may take the place of another, so keys that
+    differ only in suffixes are numbered together, one after the other; all others are
+    numbered by a window.
+    """
+    family = F.regexp_replace(F.col(key), r"(#\d+)+$", "")
+    marked = rows.withColumn("_family", family)
+    marked = marked.withColumn("_mixed", F.max(F.col(key) != F.col("_family")).over(Window.partitionBy(by, "_family")))
     n = F.row_number().over(Window.partitionBy(by, key).orderBy(order))
-    return rows.withColumn("unique_key", F.when(n == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("#"), n.cast("string"))))
+    plain = marked.where(~F.coalesce("_mixed", F.lit(False))).withColumn("unique_key", F.when(n == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("#"), n.cast("string"))))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        used: set[str] = set()
+        following: dict[str, int] = {}
+        made = []
+        for k in frame[key]:
+            name, i = k, following.get(k, 2)
+            while name in used:
+                name, i = f"{k}#{i}", i + 1
+            used.add(name)
+            following[k] = i
+            made.append(name)
+        return frame.assign(unique_key=made)
+
+    schema = T.StructType([*marked.schema.fields, T.StructField("unique_key", T.StringType())])
+    mixed = marked.where("_mixed").groupBy(by, "_family").applyInPandas(run, schema)
+    return plain.unionByName(mixed).drop("_family", "_mixed")
 
 
 def resource_groups(units: DataFrame, resource: str) -> DataFrame:

@@ -50,18 +50,23 @@ def fuzzy(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, limit:
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    left = queries.select(*LOCALES, "source").distinct().withColumn("g", fx.trigram_codes(F.lower("source"))).where(F.size("g") > 0)
-    right = memory.where("target IS NOT NULL").select(*LOCALES, "source").distinct().withColumn("g", fx.trigram_codes(F.lower("source"))).where(F.size("g") > 0)
+    def texts(df: DataFrame, name: str) -> DataFrame:
+        """Distinct sources with a number, their hash, and trigrams."""
+        own = df.select(*LOCALES, "source").distinct().withColumn("g", fx.trigram_codes(F.lower("source"))).where(F.size("g") > 0)
+        return own.withColumn(name, F.xxhash64("source")).withColumn(f"s_{name}", F.col("source")).drop("source")
+
+    left, right = texts(queries, "a"), texts(memory.where("target IS NOT NULL"), "b")
     seen = left.select(*LOCALES, F.explode("g").alias("gram")).unionByName(right.select(*LOCALES, F.explode("g").alias("gram"))).groupBy(*LOCALES, "gram").agg(F.count("*").alias("n"))
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
-        grams = side.select(*LOCALES, F.col("source").alias(name), F.size("g").alias(f"n_{name}"), F.explode("g").alias("gram")).join(seen, [*LOCALES, "gram"])
+        grams = side.select(*LOCALES, name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("gram")).join(seen, [*LOCALES, "gram"])
         order = Window.partitionBy(*LOCALES, name).orderBy("n", "gram")
         keep = F.col(f"n_{name}") - F.ceil(F.lit(threshold) * F.col(f"n_{name}") - F.lit(1e-9)) + 1
         return grams.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).select(*LOCALES, "gram", name, f"n_{name}")
 
     pairs = prefixes(left, "a").join(prefixes(right, "b"), [*LOCALES, "gram"]).where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9).select(*LOCALES, "a", "b").distinct()
-    sides = pairs.join(left.select(*LOCALES, F.col("source").alias("a"), F.col("g").alias("ga")), [*LOCALES, "a"]).join(right.select(*LOCALES, F.col("source").alias("b"), F.col("g").alias("gb")), [*LOCALES, "b"])
+    # a number stands for each text until here; should two texts share one, both are joined and verified
+    sides = pairs.join(left.withColumnRenamed("g", "ga"), [*LOCALES, "a"]).join(right.withColumnRenamed("g", "gb"), [*LOCALES, "b"]).drop("a", "b").withColumnsRenamed({"s_a": "a", "s_b": "b"})
     both = F.size(F.array_intersect("ga", "gb"))
     near = sides.withColumn("both", both).withColumn("score", F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).where(F.col("score") >= F.lit(threshold)).select(*LOCALES, "a", "b", "score")
     rows = near.join(memory.where("target IS NOT NULL").select(*LOCALES, F.col("source").alias("b"), "unit_id", "target", "usage_count"), [*LOCALES, "b"])
@@ -87,30 +92,47 @@ def _same(a: Column, b: Column) -> Column:
     return fx.normalized(F.coalesce(a, F.lit(""))) == fx.normalized(F.coalesce(b, F.lit("")))
 
 
-def classify(found: DataFrame, queries: DataFrame, memory: DataFrame, require_context: bool = True, limit: int | None = None) -> DataFrame:
+def classify(found: DataFrame, queries: DataFrame, memory: DataFrame, require_context: bool | None = True, limit: int | None = None, require_tags: bool | None = None) -> DataFrame:
     """Recompute each row's kind from the texts: ice, exact or fuzzy, with the flags that it rests on.
 
-    A row is ice only if neighbours (where required) and tag signatures agree; a fuzzy
-    row with equal normalized text becomes exact and keeps its score.  Signatures are
-    compared where both sides have a ``signature`` column.
+    A row is ice only if neighbours and tag signatures agree, where they are required;
+    its score is then 1.  A fuzzy row with equal normalized text becomes exact and keeps
+    its score.  With ``require_context`` None, neighbours are required of the queries that
+    have any.  Tags are compared by a column ``signature``, where a missing one is empty;
+    with ``require_tags`` None, if both sides have that column.
     """
-    q = queries.select("query_id", F.col("source").alias("q_source"), F.col("previous_source").alias("q_prev"), F.col("next_source").alias("q_next"), *([F.col("signature").alias("q_sig")] if "signature" in queries.columns else []))
-    m = memory.select("unit_id", "target_locale", F.col("source").alias("m_source"), F.col("previous_source").alias("m_prev"), F.col("next_source").alias("m_next"), *([F.col("signature").alias("m_sig")] if "signature" in memory.columns else []))
-    tags = F.col("q_sig").eqNullSafe(F.col("m_sig")) if "signature" in queries.columns and "signature" in memory.columns else F.lit(True)
-    prev = _same(F.col("q_prev"), F.col("m_prev")) if require_context else F.lit(True)
-    following = _same(F.col("q_next"), F.col("m_next")) if require_context else F.lit(True)
-    out = found.join(q, "query_id").join(m.drop("target_locale"), "unit_id").select("query_id", "unit_id", "score", "kind", _same(F.col("q_source"), F.col("m_source")).alias("source_equal"), tags.alias("tags_equal"), prev.alias("previous_equal"), following.alias("next_equal"))
-    kind = F.when(F.col("source_equal") & F.col("tags_equal") & F.col("previous_equal") & F.col("next_equal") & (F.col("kind") == "ice"), "ice").when(F.col("source_equal"), "exact").otherwise("fuzzy")
-    out = out.withColumn("kind", kind)
+    signature = "array<struct<type:string,pair_id:string>>"
+
+    def side(df: DataFrame, name: str) -> Column:
+        own = F.col("signature").cast(signature) if "signature" in df.columns else F.lit(None)
+        return F.coalesce(own, F.array().cast(signature)).alias(f"{name}_sig")
+
+    if require_tags is None:
+        require_tags = "signature" in queries.columns and "signature" in memory.columns
+    q = queries.select("query_id", F.col("source").alias("q_source"), F.col("previous_source").alias("q_prev"), F.col("next_source").alias("q_next"), side(queries, "q"))
+    m = memory.select("unit_id", F.col("source").alias("m_source"), F.col("previous_source").alias("m_prev"), F.col("next_source").alias("m_next"), side(memory, "m"))
+    needed = F.lit(require_context) if require_context is not None else (F.coalesce("q_prev", F.lit("")) != "") | (F.coalesce("q_next", F.lit("")) != "")
+    prev, following = ~needed | _same(F.col("q_prev"), F.col("m_prev")), ~needed | _same(F.col("q_next"), F.col("m_next"))
+    # arrays of structs with nulls are equal as their spelling is
+    tags = F.to_json("q_sig") == F.to_json("m_sig") if require_tags else F.lit(True)
+    out = found.join(q, "query_id").join(m, "unit_id").select("query_id", "unit_id", "score", "kind", _same(F.col("q_source"), F.col("m_source")).alias("source_equal"), tags.alias("tags_equal"), prev.alias("previous_equal"), following.alias("next_equal"))
+    strict = F.col("source_equal") & F.col("tags_equal") & F.col("previous_equal") & F.col("next_equal") & (F.col("kind") == "ice")
+    out = out.withColumn("kind", F.when(strict, "ice").when(F.col("source_equal"), "exact").otherwise("fuzzy"))
+    out = out.withColumn("score", F.when(F.col("kind") == "ice", 1.0).otherwise(F.col("score")))
     if limit is not None:
         tier = F.when(F.col("kind") == "ice", 0).when(F.col("kind") == "exact", 1).otherwise(2)
         out = out.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tier, "unit_id"))).where(F.col("_r") <= limit).drop("_r")
     return out
 
 
-def token_candidates(queries: DataFrame, units: DataFrame, limit: int = 5) -> DataFrame:
-    """(query_id, unit_id, shared, ordinal): units that share words, most shared first, cut at max(200 limit, 1000)."""
-    cap = max(200 * limit, 1000)
+def candidates_of(limit: int) -> int:
+    """How many candidates a search for ``limit`` results looks at, by default."""
+    return max(200 * limit, 1000)
+
+
+def token_candidates(queries: DataFrame, units: DataFrame, limit: int = 5, candidates: int | None = None) -> DataFrame:
+    """(query_id, unit_id, shared, ordinal): the ``candidates`` units that share most words, ``candidates_of(limit)`` by default."""
+    cap = candidates if candidates is not None else candidates_of(limit)
     q = queries.select("query_id", F.explode(fx.token_set(F.col("source"))).alias("token"))
     u = units.select("unit_id", "ordinal", F.explode(fx.token_set(F.col("source"))).alias("token"))
     shared = q.join(u, "token").groupBy("query_id", "unit_id").agg(F.count("*").alias("shared"), F.min("ordinal").alias("ordinal"))
@@ -118,22 +140,23 @@ def token_candidates(queries: DataFrame, units: DataFrame, limit: int = 5) -> Da
     return shared.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
 
 
-def fuzzy_find(queries: DataFrame, units: DataFrame, threshold: float = 0.75, limit: int = 5) -> DataFrame:
+def fuzzy_find(queries: DataFrame, units: DataFrame, threshold: float = 0.75, limit: int = 5, candidates: int | None = None) -> DataFrame:
     """(query_id, unit_id, score, kind): the most similar units of one document, by sequence ratio.
 
     Exact hits of the normalized text count 1; if there are ``limit`` of them, they are
-    all.  Other candidates share a word with the query, the best max(200 limit, 1000);
-    a query that shares none is compared with the first so many units.
+    all.  Other candidates share a word with the query, the best ``candidates`` of them,
+    which the operator defines as ``candidates_of(limit)``; a query that shares none is
+    compared with the first so many units.
     """
     if limit < 1 or not 0 <= threshold <= 1:
         raise ValueError("limit must be 1 at least and threshold between 0 and 1")
-    cap = max(200 * limit, 1000)
+    cap = candidates if candidates is not None else candidates_of(limit)
     q = queries.select("query_id", "source", fx.casefolded("source").alias("q"))
     u = units.select("unit_id", "ordinal", F.col("source").alias("text"), fx.casefolded("source").alias("u"))
     hits = q.join(u, F.col("q") == F.col("u")).select("query_id", "unit_id", "ordinal", F.lit(1.0).alias("score"), F.lit("exact").alias("kind"))
     full = hits.groupBy("query_id").count().where(F.col("count") >= limit).select("query_id")
     open_ = queries.join(full, "query_id", "left_anti")
-    ranked = token_candidates(open_, units, limit).select("query_id", "unit_id")
+    ranked = token_candidates(open_, units, limit, cap).select("query_id", "unit_id")
     lost = open_.join(ranked.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     first = units.orderBy("ordinal", "unit_id").limit(cap).select("unit_id")
     pairs = ranked.unionByName(lost.crossJoin(first)).join(hits.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")

@@ -14,14 +14,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmenta.functions import text as fx
+from segmenta.schema import COMMENT, CONTEXT, META, TAGS, UNIT_COLUMNS, unit_type
 
-VERSION = 1
+#: Version 2 holds whole tags, comments, metadata and neighbours.
+VERSION = 2
 KEY = ["source_hash", "context_hash", "source_locale", "target_locale", "target"]
-COLUMNS = (
-    "id string, unit_key string, source string, target string, source_locale string, target_locale string, status string, previous_source string, next_source string, project string, domain string, "
-    "usage_count int, plural_variant string, plural_count int, plural_category string, tags array<struct<type:string,pair_id:string>>, comments array<string>, extensions map<string,string>, source_hash string, context_hash string, updated_at timestamp"
-)
-NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+_TYPES = {
+    "id": "string", "unit_key": "string", "source": "string", "target": "string", "source_locale": "string", "target_locale": "string", "status": "string",
+    "previous_source": "string", "next_source": "string", "project": "string", "domain": "string", "usage_count": "int",
+    "plural_variant": "string", "plural_count": "int", "plural_category": "string", "plural_extensions": "map<string,string>",
+    "signature": "array<struct<type:string,pair_id:string>>", "tags": TAGS, "comments": f"array<{COMMENT}>", "meta": META, "previous_context": CONTEXT, "next_context": CONTEXT,
+    "extensions": "map<string,string>", "source_hash": "string", "context_hash": "string", "updated_at": "timestamp",
+}
+COLUMNS = ", ".join(f"{k} {v}" for k, v in _TYPES.items())
+NAMES = list(_TYPES)
+
+
+def as_rows(df: DataFrame, **values: Column) -> DataFrame:
+    """Any frame as memory rows: columns by name, ``values`` in their stead, null for the rest."""
+    return df.select(*[values.get(n, F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in _TYPES.items()])
 
 
 def exploded(units: DataFrame, project: str | None = None, domain: str | None = None) -> DataFrame:
@@ -31,6 +42,8 @@ def exploded(units: DataFrame, project: str | None = None, domain: str | None =
     firstc = F.filter(F.transform("comments", lambda c: c["origin"]["project"]), lambda p: p.isNotNull() & (p != ""))
     source, prev, following = F.col("source"), F.coalesce(F.col("previous_context.source"), F.lit("")), F.coalesce(F.col("next_context.source"), F.lit(""))
     sig = fx.tag_signature(F.col("tags.source_ties"))
+    own = F.col("_t.tags")
+    tags = F.when(F.col("tags").isNotNull() | own.isNotNull(), F.struct(F.col("tags.source_ties").alias("source_ties"), F.coalesce(own["ties"], F.col("tags.target_ties")).alias("target_ties"), F.col("tags.source_parts").alias("source_parts"), F.coalesce(own["parts"], F.col("tags.target_parts")).alias("target_parts")))
     out = t.select(
         F.col("unit_id").alias("unit_key"),
         source.alias("source"),
@@ -46,8 +59,13 @@ def exploded(units: DataFrame, project: str | None = None, domain: str | None =
         F.coalesce("_t.plural.variant", "plural.variant").alias("plural_variant"),
         F.coalesce("_t.plural.count", "plural.count").alias("plural_count"),
         F.coalesce("_t.plural.category", "plural.category").alias("plural_category"),
-        sig.alias("tags"),
-        F.filter(F.transform(F.coalesce("_t.comments", "comments"), lambda c: c["context"]), lambda c: c.isNotNull()).alias("comments"),
+        F.coalesce("_t.plural.extensions", "plural.extensions").alias("plural_extensions"),
+        sig.alias("signature"),
+        tags.alias("tags"),
+        F.coalesce("_t.comments", "comments").alias("comments"),
+        F.coalesce("_t.meta", "meta").alias("meta"),
+        "previous_context",
+        "next_context",
         ext.alias("extensions"),
         fx.source_hash(source).alias("source_hash"),
         fx.context_hash(source, prev, following).alias("context_hash"),
@@ -97,6 +115,36 @@ def upserted(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return both.select(*made)
 
 
+def replaced_children(children: DataFrame, new: DataFrame, touched: DataFrame, by: list[str]) -> DataFrame:
+    """Children of the parents in ``touched`` give way to the ``new`` ones of those parents; all others stay."""
+    parents = touched.select(*by).distinct()
+    return children.join(parents, by, "left_anti").unionByName(new.join(parents, by, "left_semi"))
+
+
+def units_of(rows: DataFrame) -> DataFrame:
+    """Memory rows as units: one with one target for each row, in the order of keys in a pair of locales."""
+    plural = F.struct(F.col("plural_variant").alias("variant"), F.col("plural_count").alias("count"), F.col("plural_category").alias("category"), F.col("plural_extensions").alias("extensions"))
+    none = F.col("plural_variant").isNull() & F.col("plural_count").isNull() & F.col("plural_category").isNull()
+
+    def neighbour(side: str) -> Column:
+        c, text = F.col(f"{side}_context"), F.when(F.col(f"{side}_source") != "", F.col(f"{side}_source"))
+        return F.when(c.isNotNull() | text.isNotNull(), F.struct(c["unit_id"].alias("unit_id"), F.coalesce(c["source"], text).alias("source"), c["target"].alias("target"), c["extensions"].alias("extensions")))
+
+    w = Window.partitionBy("source_locale", "target_locale").orderBy("unit_key", "id")
+    meta = F.struct(F.col("usage_count").alias("usage_count"), *[F.col(f"meta.{f.name}").alias(f.name) for f in unit_type()["meta"].dataType.fields if f.name != "usage_count"])
+    have = {
+        "doc_id": F.concat_ws(">", "source_locale", "target_locale"), "ordinal": F.row_number().over(w) - 1, "unit_id": F.col("unit_key"), "plural": F.when(~none, plural),
+        "meta": meta, "previous_context": neighbour("previous"), "next_context": neighbour("next"),
+    }
+    types = {f.name: f.dataType for f in unit_type().fields}
+    empty = {"targets": F.create_map(), "target_locales": F.array(), "comments": F.array(), "extensions": F.create_map()}
+    made = []
+    for c in UNIT_COLUMNS:
+        value = have.get(c, F.col(c) if c in rows.columns else F.lit(None)).cast(types[c])
+        made.append((F.coalesce(value, empty[c].cast(types[c])) if c in empty else value).alias(c))
+    return rows.select(*made)
+
+
 class TranslationMemory:
     """A memory in a folder."""
 
@@ -135,27 +183,41 @@ class TranslationMemory:
         return self.spark.read.schema(COLUMNS).parquet(f"{self.folder}/units").select(*NAMES)
 
     def load(self, units: DataFrame, project: str | None = None, domain: str | None = None, now: Column | None = None) -> dict[str, int]:
-        """Load units; returns how many rows were read and written."""
+        """Load units; returns how many rows were read and written.
+
+        New rows are made once, as a table beside the memory, and counted there; the merged
+        partitions are written beside it too before they replace those in place.
+        """
         meta = self._meta()
         if meta is None:
             raise ValueError("call setup first")
+        stamp = now if now is not None else F.current_timestamp()
+        name = uuid.uuid4().hex
         read = exploded(units, project, domain)
-        new = first_of_key(read).withColumn("updated_at", now if now is not None else F.current_timestamp())
-        staged = f"{self.folder}/staged-{uuid.uuid4().hex}"
+        read.write.parquet(f"{self.folder}/read-{name}")
+        read = self.spark.read.schema(read.schema).parquet(f"{self.folder}/read-{name}")
+        first = first_of_key(read).withColumn("updated_at", stamp)
+        first.write.parquet(f"{self.folder}/new-{name}")
+        new = self.spark.read.schema(first.schema).parquet(f"{self.folder}/new-{name}")
         locales = [r[0] for r in new.select("source_locale").distinct().collect()]
         old = self.rows()
         touched = old.where(F.col("source_locale").isin(locales)) if meta["partitioned"] else old
-        upserted(touched, new, now if now is not None else F.current_timestamp()).write.parquet(staged)
-        out = self.spark.read.parquet(staged)
-        writer = out.write.mode("overwrite")
+        merged = upserted(touched, new, stamp)
+        merged.write.parquet(f"{self.folder}/staged-{name}")
+        writer = self.spark.read.schema(merged.schema).parquet(f"{self.folder}/staged-{name}").write.mode("overwrite")
         if meta["partitioned"]:
             writer = writer.partitionBy("source_locale").option("partitionOverwriteMode", "dynamic")
         writer.parquet(f"{self.folder}/units")
         stats = {"read": read.count(), "written": new.count()}
-        fs, path = self._path(staged.rpartition("/")[2])
-        fs.delete(path, True)
+        for part in ("read", "new", "staged"):
+            fs, path = self._path(f"{part}-{name}")
+            fs.delete(path, True)
         return stats
 
+    def units(self, source_locale: str, target_locale: str) -> DataFrame:
+        """The rows of a pair of locales as units."""
+        return units_of(self.rows().where((F.col("source_locale") == source_locale) & (F.col("target_locale") == target_locale)))
+
     def unit(self, unit_key: str, source_locale: str = "", target_locale: str = "") -> DataFrame:
         """The newest row of a key; an empty locale stands for any."""
         out = self.rows().where(F.col("unit_key") == unit_key)
@@ -179,13 +241,16 @@ class TranslationMemory:
         """The rows of ``to_document`` one by one, fetched by partition."""
         return self.to_document(source_locale, target_locale).toLocalIterator(prefetchPartitions=True)
 
-    def match(self, queries: DataFrame, limit: int = 5, threshold: float = 0.7, require_context: bool | None = None) -> DataFrame:
-        """Matches of any number of queries in one distributed join, classified and cut to ``limit`` each."""
+    def match(self, queries: DataFrame, limit: int = 5, threshold: float = 0.7, require_context: bool | None = None, require_tags: bool | None = None) -> DataFrame:
+        """Matches of any number of queries in one distributed join, classified and cut to ``limit`` each.
+
+        Neighbours are required of the queries that have any, unless ``require_context`` says
+        otherwise; tags, where queries have a column ``signature``.
+        """
         from segmenta.operators import matching
 
         if limit < 1 or not 0 <= threshold <= 1:
             raise ValueError("limit must be 1 at least and threshold between 0 and 1")
         memory = self.rows().withColumn("unit_id", F.col("id"))
         found = matching.match_tiers(queries, memory, limit, max(threshold, 1e-6))
-        context = require_context if require_context is not None else True
-        return matching.classify(found, queries, memory.drop("signature"), context, limit)
+        return matching.classify(found, queries, memory, require_context, limit, require_tags)

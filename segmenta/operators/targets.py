@@ -27,6 +27,15 @@ def target_status(locale: str | Column | None = None) -> Column:
     return F.coalesce(selected(locale)["status"], F.col("status"))
 
 
+def with_selected(units: DataFrame, locale: str | Column | None = None, name: str = "selected") -> DataFrame:
+    """Units with the target of a locale as a struct; without one, the only target, else the unit's own text and status."""
+    kind = units.schema["targets"].dataType.valueType  # type: ignore[union-attr]
+    own = {"text": "target", "status": "status"}
+    single = F.struct(*[(F.col(own[f.name]) if own.get(f.name) in units.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    one = selected(locale)
+    return units.withColumn(name, one if locale is not None else F.coalesce(one, F.when(F.col("target").isNotNull(), single)))
+
+
 def select_target(units: DataFrame, locale: str | Column) -> DataFrame:
     """Units with one target, that of ``locale``; its own fields stand before the unit's, its extensions win."""
     one = selected(locale)
@@ -65,16 +74,40 @@ def gathered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("unit_key").agg(F.min("source").alias("source"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("targets"))
 
 
-def merge_by_id(units: DataFrame) -> DataFrame:
-    """One unit for each id of a document: first source, target and comments that say something; maps merged, later ones win."""
-    order = F.col("ordinal")
-    full = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(c))
-    maps = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.map_entries("extensions").alias("entries")))), lambda x: F.map_from_entries(x["entries"]))
-    folded = F.aggregate(maps, F.create_map().cast("map<string,string>"), merged_map)
-    return units.groupBy("doc_id", "unit_id").agg(
-        F.min("ordinal").alias("ordinal"),
-        F.min_by(full("source"), F.when(full("source").isNotNull(), order)).alias("source"),
-        F.min_by(F.col("target"), F.when(F.col("target").isNotNull(), order)).alias("target"),
-        F.min_by(F.col("status"), order).alias("status"),
-        folded.alias("extensions"),
-    )
+def _folded(column: str, kind: str) -> Column:
+    """The maps of a group in order of ordinal, as one; entries of later ones win."""
+    rows = F.collect_list(F.struct(F.coalesce("ordinal", F.lit(-1)).alias("o"), F.map_keys(column).alias("k"), F.map_values(column).alias("v")))
+    maps = F.transform(F.array_sort(rows, lambda x, y: F.signum(x["o"] - y["o"]).cast("int")), lambda x: F.map_from_arrays(x["k"], x["v"]))
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    return F.aggregate(maps, F.create_map().cast(kind), over)
+
+
+def _said(units: DataFrame, column: str) -> Column:
+    """Where a column of an earlier unit gives way to a later one: no source, no comments, no target or tags."""
+    if column == "source":
+        return F.col(column) != ""
+    return F.size(column) > 0 if units.schema[column].dataType.typeName() == "array" else F.col(column).isNotNull()
+
+
+def merge_by_id(units: DataFrame, by: tuple[str, ...] = ("doc_id", "unit_id")) -> DataFrame:
+    """One unit for each id of a document.
+
+    Source, target, tags and comments are the first that say something; targets and
+    extensions are merged, later ones win; all else is the first unit's.  With
+    ``by`` = (doc_id, target_locale, unit_id), rows of several locales are merged each
+    in their own.  Units without an ordinal come first, in no order of their own.
+    """
+    order = F.coalesce("ordinal", F.lit(-1))
+    made = []
+    for c in units.columns:
+        if c in by:
+            continue
+        if c == "ordinal":
+            made.append(F.min(c).alias(c))
+        elif units.schema[c].dataType.typeName() == "map":
+            made.append(_folded(c, units.schema[c].dataType.simpleString()).alias(c))
+        elif c in ("source", "target", "tags", "comments"):
+            made.append(F.coalesce(F.min_by(c, F.when(_said(units, c), order)), F.min_by(c, order)).alias(c))
+        else:
+            made.append(F.min_by(c, order).alias(c))
+    return units.groupBy(*by).agg(*made).select(*units.columns)

@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmenta.functions import text as fx
+from segmenta.schema import unit_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_units(df: DataFrame) -> DataFrame:
+    """Any frame with some of the columns of units, as units; missing maps and lists are empty, fields of structs go by name."""
+    empty = {"targets": F.create_map(), "target_locales": F.array(), "comments": F.array(), "extensions": F.create_map()}
+
+    def cast(value: Column, have: T.DataType, want: T.DataType) -> Column:
+        if isinstance(have, T.MapType):
+            return F.transform_values(value, lambda _, x: cast(x, have.valueType, want.valueType)).cast(want)
+        if isinstance(have, T.ArrayType):
+            return F.transform(value, lambda x: cast(x, have.elementType, want.elementType)).cast(want)
+        if isinstance(have, T.StructType):
+            fields = [(cast(value[f.name], have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        return value.cast(want)
+
+    made = []
+    for f in unit_type().fields:
+        value = cast(F.col(f.name), df.schema[f.name].dataType, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        made.append((F.coalesce(value, empty[f.name].cast(f.dataType)) if f.name in empty else value).alias(f.name))
+    return df.select(*made)
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit for each line of a document that isn't blank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("source_locale"), F.col("source").alias("project"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +13,8 @@ from segmenta.functions import text as fx
 from segmenta.operators import lookup, matching, memory, targets
 from segmenta.plans import views as v
 from segmenta.plans.views import table
-from segmenta.sources import html, json_i18n
+from segmenta.sinks import files, regen
+from segmenta.sources import html, json_i18n, po
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,10 +32,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import segmenta.file_queries  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import segmenta.file_queries  # noqa: F401
+
     return dict(SQL)
 
 
@@ -214,9 +218,13 @@ def multilingual_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tabular units as records: one column for each target, unknown status blank, comments joined."""
     p = table(spark, sf_dir, "part")
-    t = F.create_map(F.lit("xx"), F.upper("p_brand"), F.lit("yy"), F.lower("p_type"))
-    u = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("source"), t.alias("targets"), F.when(F.col("p_size") > 25, "approved").otherwise("unknown").alias("status"), F.array("p_brand", "p_type").alias("notes"))
-    return u.select("id", "source", F.col("targets")["xx"].alias("target_xx"), F.col("targets")["yy"].alias("target_yy"), F.when(F.col("status") == "unknown", "").otherwise(F.col("status")).alias("status"), F.array_join("notes", "; ").alias("comments"))
+    status = F.when(F.col("p_size") > 25, "approved").otherwise("unknown")
+    entry = lambda text: F.struct(text.alias("text"), status.alias("status"))
+    t = F.create_map(F.lit("xx"), entry(F.upper("p_brand")), F.lit("yy"), entry(F.lower("p_type")))
+    note = lambda c: F.struct(F.col(c).alias("context"))
+    none = F.lit(None).cast("string")
+    u = p.select(F.lit("part").alias("doc_id"), F.col("p_partkey").alias("ordinal"), F.col("p_partkey").alias("unit_id"), F.col("p_name").alias("source"), none.alias("target"), none.alias("target_locale"), t.alias("targets"), status.alias("status"), F.array(note("p_brand"), note("p_type")).alias("comments"))
+    return files.csv_table(u.withColumn("unit_id", F.col("unit_id").cast("string")), ["xx", "yy"]).drop("doc_id", "ordinal").withColumn("id", F.col("id").cast("bigint"))
 
 
 # --- keys and maps --------------------------------------------------------------------------
@@ -315,6 +323,21 @@ def match_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.classify(matching.match_tiers(q, m), q, m)
 
 
+def _signed(df: DataFrame, key: Column) -> DataFrame:
+    """A bold tag where a third of the keys begins, an unpaired one for another third, else none."""
+    n = F.pmod(F.length(key), F.lit(3))
+    tag = lambda kind, pair: F.array(F.struct(F.lit(kind).alias("type"), F.lit(pair).cast("string").alias("pair_id")))
+    return df.withColumn("signature", F.when(n == 0, tag("bold.open", "p1")).when(n == 1, tag("bold.open", None)))
+
+
+@query(f"""WITH {_SIDES}, c AS (SELECT * REPLACE (length(query_id) % 3 = length(unit_id) % 3 AS tags_equal) FROM ({_CLASSIFIED}))
+    SELECT query_id, unit_id, score, CASE WHEN source_equal AND tags_equal AND previous_equal AND next_equal AND was = 'ice' THEN 'ice' WHEN source_equal THEN 'exact' ELSE 'fuzzy' END AS kind, source_equal, tags_equal, previous_equal, next_equal FROM c""")
+def match_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``match_classify``, with tags on both sides: a row whose tags differ is no in-context match."""
+    q, m = _match_sides(spark, sf_dir)
+    return matching.classify(matching.match_tiers(q, m), _signed(q, F.col("query_id")), _signed(m, F.col("unit_id")))
+
+
 @query(f"""WITH {_SIDES}, c AS ({_CLASSIFIED}),
     k AS (SELECT query_id, unit_id, score, CASE WHEN source_equal AND previous_equal AND next_equal AND was = 'ice' THEN 'ice' WHEN source_equal THEN 'exact' ELSE 'fuzzy' END AS kind, source_equal, tags_equal, previous_equal, next_equal FROM c)
     SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE kind WHEN 'ice' THEN 0 WHEN 'exact' THEN 1 ELSE 2 END, unit_id) <= 2""")
@@ -390,13 +413,12 @@ def pair_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, CASE WHEN quality = 1 THEN 'approved' ELSE 'unknown' END AS xs FROM documents LEFT JOIN labels USING (doc_id))
-    SELECT doc_id, 'xx' AS target_locale, upper(lang) AS target, xs AS status, source AS origin FROM o WHERE quality IS NOT NULL
-    UNION ALL SELECT doc_id, 'yy', reverse(lang), 'translated', source FROM o""")
+    SELECT doc_id::VARCHAR AS unit_key, 'xx' AS target_locale, upper(lang) AS target, xs AS status, source AS origin, md5(lower(lang)) AS source_hash FROM o WHERE quality IS NOT NULL
+    UNION ALL SELECT doc_id::VARCHAR, 'yy', reverse(lang), 'translated', source, md5(lower(lang)) FROM o""")
 def load_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory rows of units with targets in two locales."""
-    u = _multilingual(spark, sf_dir)
-    e = u.select("*", F.explode_outer(F.map_entries("targets")).alias("e"))
-    return e.select("doc_id", F.col("e.key").alias("target_locale"), F.coalesce("e.value.text", "target").alias("target"), F.coalesce("e.value.status", "status").alias("status"), fx.merged_map(F.col("extensions"), F.col("e.value.extensions"))["from"].alias("origin"))
+    rows = memory.exploded(v.as_units(_multilingual(spark, sf_dir)))
+    return rows.select("unit_key", "target_locale", "target", "status", F.col("extensions")["from"].alias("origin"), "source_hash")
 
 
 @query(f"""SELECT unit_id FROM ({v.TRANSLATED_SQL}) QUALIFY row_number() OVER (PARTITION BY lower(source), target, source_locale, target_locale, lower(coalesce(previous_source, '')), lower(coalesce(next_source, '')) ORDER BY doc_id, ordinal) = 1""")
@@ -413,12 +435,8 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = v.translated(spark, sf_dir)
 
     def rows(df: DataFrame, uses: Column, mark: str) -> DataFrame:
-        have = {
-            "unit_key": F.col("unit_id"), "usage_count": uses, "extensions": F.create_map(F.lit(mark), F.col("unit_id")),
-            "updated_at": F.lit(None).cast("timestamp"), "id": F.lit(""),
-        }
-        types = dict(c.split(" ", 1) for c in re.split(r", (?=\w+ )", memory.COLUMNS))
-        return df.select(*[have.get(n, F.col(n) if n in df.columns else F.lit(None)).cast(types[n]).alias(n) for n in memory.NAMES])
+        none = F.lit(None)
+        return memory.as_rows(df, unit_key=F.col("unit_id"), usage_count=uses, extensions=F.create_map(F.lit(mark), F.col("unit_id")), updated_at=none, id=F.lit(""))
 
     old = rows(v.memory(t.where("status = 'approved'")), F.col("usage_count"), "old")
     old = old.withColumn("id", memory.row_id())
@@ -436,14 +454,16 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("unit_key", "source_hash", "context_hash", "usage_count", F.try_element_at("extensions", F.lit("old")).alias("old_mark"), F.try_element_at("extensions", F.lit("new")).alias("new_mark"))
 
 
-@query(f"""SELECT unit_id AS unit_key, source_hash, 2 AS usage_count FROM ({v.TRANSLATED_SQL}) WHERE target IS NULL""")
+@query(f"""SELECT unit_id AS unit_key, source_hash, CASE WHEN status = 'new' AND n > 0 THEN 2 ELSE 1 END AS usage_count, CASE WHEN n > 0 THEN 'again' END AS mark FROM (
+      SELECT *, CASE WHEN ordinal % 2 = 0 THEN 1 ELSE 0 END AS n FROM ({v.TRANSLATED_SQL}) WHERE target IS NULL)""")
 def update_untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untranslated rows that are loaded again meet themselves by key and are counted up, never doubled."""
+    """Untranslated rows: those of even lines are loaded again, meet themselves by key and are counted up, the others stay."""
     t = v.translated(spark, sf_dir).where("target IS NULL")
-    types = dict(c.split(" ", 1) for c in re.split(r", (?=\w+ )", memory.COLUMNS))
-    have = {"unit_key": F.col("unit_id"), "usage_count": F.lit(1)}
-    rows = t.select(*[have.get(n, F.col(n) if n in t.columns else F.lit(None)).cast(types[n]).alias(n) for n in memory.NAMES]).withColumn("id", memory.row_id())
-    return memory.upserted(rows, rows, F.lit(_STAMP).cast("timestamp")).select("unit_key", "source_hash", "usage_count")
+    empty = F.create_map().cast("map<string,string>")
+    rows = memory.as_rows(t, unit_key=F.col("unit_id"), usage_count=F.lit(1), extensions=empty).withColumn("id", memory.row_id())
+    again = memory.as_rows(t.where("ordinal % 2 = 0"), unit_key=F.col("unit_id"), usage_count=F.lit(1), extensions=F.create_map(F.lit("mark"), F.lit("again")))
+    out = memory.upserted(rows, again, F.lit(_STAMP).cast("timestamp"))
+    return out.select("unit_key", "source_hash", "usage_count", F.try_element_at("extensions", F.lit("mark")).alias("mark"))
 
 
 @query("""SELECT o_orderkey AS unit_id, l_linenumber AS position, 'new' AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'
@@ -452,49 +472,75 @@ def child_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of the parents that were touched are replaced; all others stay."""
     children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("position"))
     touched = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("unit_id"))
-    new = children.join(touched, "unit_id").withColumn("side", F.lit("new"))
-    return new.unionByName(children.join(touched, "unit_id", "left_anti").withColumn("side", F.lit("old")))
+    return memory.replaced_children(children.withColumn("side", F.lit("old")), children.withColumn("side", F.lit("new")), touched, ["unit_id"])
 
 
-@query("""SELECT 'c' || o_custkey AS unit_id, CAST(min(o_orderkey) AS BIGINT) AS ordinal, arg_min(o_comment, o_orderkey) AS source, arg_min(o_orderstatus, o_orderkey) AS status,
-    arg_max(o_clerk, o_orderkey) AS clerk FROM (SELECT *, o_orderpriority AS o_comment, o_orderpriority AS o_clerk FROM orders) GROUP BY o_custkey""")
-def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as units with the customer as id: the first of a customer, extensions of the last."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as units: a target unless the status is F, a comment and a target in xx if it is O."""
     o = table(spark, sf_dir, "orders")
-    u = o.select(F.lit("orders").alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("unit_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("source"), F.lit(None).cast("string").alias("target"), F.col("o_orderstatus").alias("status"), F.create_map(F.lit("clerk"), F.col("o_orderpriority")).alias("extensions"))
-    return targets.merge_by_id(u).select("unit_id", "ordinal", "source", "status", F.col("extensions")["clerk"].alias("clerk"))
+    open_ = F.col("o_orderstatus") == "O"
+    note = F.when(open_, F.array(F.struct(F.col("o_orderpriority").alias("context")))).otherwise(F.array().cast("array<struct<context:string>>"))
+    xx = F.create_map(F.lit("xx"), F.struct(F.col("o_orderpriority").alias("text")))
+    return o.select(
+        F.lit("orders").alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("unit_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("source"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("target"), F.col("o_orderstatus").alias("status"), note.alias("comments"),
+        F.when(open_, xx).otherwise(F.create_map().cast("map<string,struct<text:string>>")).alias("targets"), F.create_map(F.lit("clerk"), F.col("o_orderpriority")).alias("extensions"),
+    )
+
+
+@query("""SELECT 'c' || o_custkey AS unit_id, CAST(min(o_orderkey) AS BIGINT) AS ordinal, arg_min(o_orderpriority, o_orderkey) AS source, arg_min(o_orderstatus, o_orderkey) AS status,
+    arg_max(o_orderpriority, o_orderkey) AS clerk, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'F') AS target, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'O') AS note,
+    arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'O') AS xx FROM orders GROUP BY o_custkey""")
+def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as units with the customer as id: the first of a customer, targets and extensions of the last."""
+    out = targets.merge_by_id(_orders(spark, sf_dir))
+    return out.select("unit_id", "ordinal", "source", "status", F.col("extensions")["clerk"].alias("clerk"), "target", F.get("comments", 0)["context"].alias("note"), F.try_element_at("targets", F.lit("xx"))["text"].alias("xx"))
+
+
+@query("""SELECT 'c' || o_custkey AS unit_id, o_orderstatus AS target_locale, CAST(min(o_orderkey) AS BIGINT) AS ordinal, arg_min(o_orderpriority, o_orderkey) AS source, arg_max(o_orderpriority, o_orderkey) AS clerk
+    FROM orders GROUP BY o_custkey, o_orderstatus""")
+def merge_per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, each target locale merged by itself."""
+    u = _orders(spark, sf_dir).withColumn("target_locale", F.col("status"))
+    return targets.merge_by_id(u, ("doc_id", "target_locale", "unit_id")).select("unit_id", "target_locale", "ordinal", "source", F.col("extensions")["clerk"].alias("clerk"))
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def extra_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplied ids that nothing consumes."""
-    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "left_anti")
+    return regen.extra_translations(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return regen.missing_translations(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("SELECT coalesce(c_custkey, o_custkey) AS unit_id, coalesce(c_mktsegment, p) AS source, p AS target FROM customer FULL JOIN (SELECT o_custkey, min(o_orderpriority) AS p FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT coalesce(c_custkey, o_custkey)::VARCHAR AS unit_id, coalesce(c_mktsegment, p) AS source, p AS target FROM customer FULL JOIN (SELECT o_custkey, min(o_orderpriority) AS p FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def po_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue and its translation joined by id; unknown ids come in with their own source."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_mktsegment").alias("source"))
-    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.min("o_orderpriority").alias("target"))
-    return c.join(t, "unit_id", "full_outer").select("unit_id", F.coalesce("source", "target").alias("source"), "target")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("unit_id"), F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("ordinal"))
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("unit_id")).agg(F.min("o_orderpriority").alias("target"), F.min("o_orderkey").alias("ordinal"))
+    return po.merged(c, {"xx": t.withColumn("source", F.col("target"))}).select("unit_id", "source", F.try_element_at("targets", F.lit("xx")).alias("target"))
 
 
-@query("SELECT p_partkey AS unit_id, p_name AS source, s_name AS target FROM part LEFT JOIN supplier ON p_partkey = s_suppkey")
+@query("""SELECT p_partkey::VARCHAR AS unit_id, p_name AS source, s_name AS xx, CASE WHEN s_name IS NULL THEN NULL ELSE 'translated' END AS status,
+    CASE WHEN p_partkey % 2 = 0 THEN c_name END AS yy FROM part LEFT JOIN supplier ON p_partkey = s_suppkey LEFT JOIN customer ON p_partkey = c_custkey""")
 def json_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_name").alias("source"))
-    return p.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), F.col("s_name").alias("target")), "unit_id", "left")
+    """A resource and two files of translations, joined by key."""
+    p = v.as_units(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("unit_id"), F.col("p_name").alias("source")))
+    other = lambda name, key, text: table(spark, sf_dir, name).select(F.col(key).cast("string").alias("unit_id"), F.col(text).alias("source"))
+    out = json_i18n.with_targets(p, {"xx": other("supplier", "s_suppkey", "s_name"), "yy": other("customer", "c_custkey", "c_name").where("unit_id % 2 = 0")})
+    at = lambda loc: F.try_element_at("targets", F.lit(loc))
+    return out.select("unit_id", "source", at("xx")["text"].alias("xx"), at("xx")["status"].alias("status"), at("yy")["text"].alias("yy"))
 
 
 @query("SELECT doc_id, coalesce(CASE quality WHEN 1 THEN upper(source) END, source) AS cell FROM documents LEFT JOIN labels USING (doc_id)")
 def regen_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as they were, with the new target where there is one."""
-    new = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("has"))
-    return table(spark, sf_dir, "documents").join(new, "doc_id", "left").select("doc_id", F.when(F.col("has"), F.upper("source")).otherwise(F.col("source")).alias("cell"))
+    records = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("cell"))
+    new = records.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.upper("cell").alias("target"))
+    return regen.merged(records, new, ["doc_id"], "cell")
 
 
 # --- plurals, messages ----------------------------------------------------------------------
@@ -539,7 +585,7 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(props::JSON ->> '$.k' AS BIGINT) AS k FROM events")
 def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", json_i18n.at_path("props", ["k"]).cast("bigint").alias("k"))
 
 
 @query()

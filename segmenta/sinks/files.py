@@ -13,12 +13,13 @@ import io
 import json
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.functions.inline import escape, render
@@ -29,7 +30,13 @@ from segmenta.sources.po import quote
 
 
 def publish(path: str, chunks: Iterable[bytes]) -> int:
-    """Write a file beside its place, make it durable and put it there; returns its size."""
+    """Write a file beside its place, make it durable and put it there; returns its size.
+
+    Paths with a scheme other than file go through Hadoop's file systems.
+    """
+    path = path.removeprefix("file://")
+    if "://" in path:
+        return _publish_remote(path, chunks)
     folder = os.path.dirname(os.path.abspath(path))
     fd, name = tempfile.mkstemp(dir=folder, prefix=".part-")
     size = 0
@@ -52,6 +59,29 @@ def publish(path: str, chunks: Iterable[bytes]) -> int:
     return size
 
 
+def _publish_remote(path: str, chunks: Iterable[bytes]) -> int:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError(f"{path} needs a session")
+    jvm = spark._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs, size = target.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    out = fs.create(part, True)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+            size += len(chunk)
+        out.close()
+        fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"could not put {path} in its place")
+    except BaseException:
+        out.close()
+        fs.delete(part, False)
+        raise
+    return size
+
+
 def documents(units: DataFrame) -> Iterator[dict]:
     """Units as dicts in order, fetched by partition."""
     ordered = units.orderBy("doc_id", "ordinal").select(F.to_json(F.struct(*[c for c in UNIT_COLUMNS if c in units.columns])).alias("j"))
@@ -170,7 +200,20 @@ def _locales(units: DataFrame) -> list[str]:
     return [r[0] for r in keys.unionByName(single).distinct().orderBy("k").collect()]
 
 
+def csv_table(units: DataFrame, target_locales: list[str]) -> DataFrame:
+    """The records of ``table_rows`` as columns, made by expressions: doc_id, ordinal, id, source, targets, status, comments."""
+    own = F.size("targets") > 0
+    text = lambda loc: F.coalesce(F.when(own, F.try_element_at("targets", F.lit(loc))["text"]), F.when(~own & (F.col("target_locale") == loc), F.col("target")), F.lit(""))
+    cells = [text(loc).alias(f"target_{loc}") for loc in target_locales] or [F.coalesce("target", F.lit("")).alias("target")]
+    first = F.try_element_at(F.filter(F.transform(F.map_values("targets"), lambda t: t["status"]), lambda s: s.isNotNull() & (s != "unknown")), F.lit(1))
+    known = F.coalesce(F.when(own, first), "status", F.lit("unknown"))
+    notes = F.array_join(F.filter(F.transform("comments", lambda c: c["context"]), lambda c: c != ""), "; ")
+    return units.select("doc_id", "ordinal", F.coalesce("unit_id", F.lit("")).alias("id"), F.coalesce("source", F.lit("")).alias("source"), *cells, F.when(known == "unknown", "").otherwise(known).alias("status"), F.coalesce(notes, F.lit("")).alias("comments"))
+
+
 def write_csv(units: DataFrame, path: str) -> int:
+    """One CSV file with all records in order; ``write_csv_folder`` writes many at once."""
+
     def lines() -> Iterator[bytes]:
         for row in table_rows(documents(units), _locales(units)):
             out = io.StringIO()
@@ -180,6 +223,13 @@ def write_csv(units: DataFrame, path: str) -> int:
     return publish(path, lines())
 
 
+def write_csv_folder(units: DataFrame, path: str, target_locales: list[str] | None = None) -> None:
+    """Records as a folder of CSV files, each with a header, in order over the names of the files; executors write them."""
+    locales = _locales(units) if target_locales is None else target_locales
+    rows = csv_table(units, locales).orderBy("doc_id", "ordinal").drop("doc_id", "ordinal").withColumnsRenamed({f"target_{loc}": loc for loc in locales})
+    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", lineSep="\n").csv(path)
+
+
 def xlsx_bytes(rows: Iterable[list[str]]) -> bytes:
     """A workbook of one sheet with inline strings."""
     def name(i: int) -> str:

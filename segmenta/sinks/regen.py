@@ -11,6 +11,9 @@ import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree as ET
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from segmenta.functions.inline import escape
 from segmenta.sources import office, po, tabular, tmx
 from segmenta.sources.common import local, open_package
@@ -271,3 +274,22 @@ def regen_xlsx(original: bytes, targets: Targets, target_locale: str | None = No
         cell.set("t", "inlineStr")
         ET.SubElement(ET.SubElement(cell, f"{ns}is"), f"{ns}t").text = new[n]
     return _rewritten(original, {parts[sheet]: _xml(root, raw)})
+
+
+# --- records and translations as frames -------------------------------------------------------
+
+
+def merged(records: DataFrame, translations: DataFrame, by: list[str], value: str, new: str = "target") -> DataFrame:
+    """Original records with ``value`` replaced by the translation of the same keys, where there is one with a text."""
+    t = translations.where(F.col(new).isNotNull()).groupBy(*by).agg(F.min(new).alias("_new"))
+    return records.join(t, by, "left").withColumn(value, F.coalesce("_new", value)).drop("_new").select(*records.columns)
+
+
+def extra_translations(supplied: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
+    """The supplied translations that no record takes."""
+    return supplied.join(records.select(*by).distinct(), by, "left_anti")
+
+
+def missing_translations(records: DataFrame, supplied: DataFrame, by: list[str]) -> DataFrame:
+    """The records that nothing is supplied for."""
+    return records.join(supplied.select(*by).distinct(), by, "left_anti")

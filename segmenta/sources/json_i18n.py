@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.functions.text import header_locale
@@ -107,10 +107,40 @@ def leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(F.col(key).cast("bigint").alias(key), column).mapInPandas(run, f"{key} bigint, key string, value string")
 
 
+def at_path(column: str, path: list[str]) -> Column:
+    """The value at a path of keys in a JSON column, as text."""
+    return F.get_json_object(column, "$" + "".join(f"['{k}']" for k in path))
+
+
+def with_targets(units: DataFrame, translations: dict[str, DataFrame], target_locale: str | None = None) -> DataFrame:
+    """Units with translations joined on the left by key; of a repeated key the first by text counts.
+
+    A translation has unit_id and source, which is its text.  With ``target_locale`` the
+    one of that locale becomes the single target; else all go into ``targets``.
+    """
+    kind = units.schema["targets"].dataType
+    texts = F.create_map().cast("map<string,string>")
+    out = units.withColumn("_texts", texts)
+    for locale, rows in translations.items():
+        t = rows.groupBy("unit_id").agg(F.min("source").alias("_t"))
+        out = out.join(t, "unit_id", "left").withColumn("_texts", F.when(F.col("_t").isNotNull(), F.map_concat("_texts", F.create_map(F.lit(locale), F.col("_t")))).otherwise(F.col("_texts"))).drop("_t")
+    if target_locale is not None:
+        one = F.try_element_at("_texts", F.lit(target_locale))
+        return out.withColumn("target", one).withColumn("target_locale", F.lit(target_locale)).withColumn("status", F.when(one.isNotNull(), "translated").otherwise("new")).drop("_texts").select(*units.columns)
+    given = {"text": lambda v: v, "status": lambda _: F.lit("translated")}
+    made = F.transform_values("_texts", lambda _, v: F.struct(*[given.get(f.name, lambda _: F.lit(None))(v).cast(f.dataType).alias(f.name) for f in kind.valueType.fields]))
+    own = F.map_filter("targets", lambda k, _: ~F.map_contains_key("_texts", k))
+    named = F.array_union(F.coalesce("target_locales", F.array().cast("array<string>")), F.map_keys("_texts"))
+    return out.withColumn("target_locales", named).withColumn("targets", F.map_concat(own, made)).drop("_texts").select(*units.columns)
+
+
 def read(spark: SparkSession, path: str, source_locale: str | None = None, target_locale: str | None = None, target_paths: dict[str, str] | None = None) -> DataFrame:
-    """Units of JSON files; translations in other files are joined by key on the way in."""
-    others = {k: "\n".join(r[0] for r in spark.read.text(p, wholetext=True).collect()) for k, p in (target_paths or {}).items()}
-    return read_files(spark, path, lambda content, _: parse(content.decode("utf-8-sig"), source_locale, target_locale, others))
+    """Units of JSON files; translations in other files are joined by key."""
+    if not target_paths:
+        return read_files(spark, path, lambda content, _: parse(content.decode("utf-8-sig"), source_locale, target_locale))
+    units = read_files(spark, path, lambda content, _: parse(content.decode("utf-8-sig"), source_locale))
+    others = {loc: read_files(spark, p, lambda content, _: parse(content.decode("utf-8-sig"))) for loc, p in target_paths.items()}
+    return with_targets(units, others, target_locale)
 
 
 __all__ = ["flatten", "leaves", "nest", "parse", "read", "units_frame"]

@@ -127,12 +127,21 @@ def read(spark: SparkSession, path: str, mode: str = "gettext", target_locale: s
     return read_files(spark, path, lambda content, _: parse(content.decode("utf-8-sig"), mode, target_locale))
 
 
-def read_targets(spark: SparkSession, source_path: str, target_paths: dict[str, str]) -> DataFrame:
-    """A catalogue and its translations, joined by id in full; unknown ids come with their own source."""
-    base = read(spark, source_path, "source").select("unit_id", "source", F.col("ordinal").alias("ordinal"))
-    out = base.withColumn("targets", F.create_map().cast("map<string,string>"))
-    for locale, path in target_paths.items():
-        t = read(spark, path).select("unit_id", F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("ordinal").alias("_o"))
-        entry = F.when(F.col("_t").isNotNull(), F.create_map(F.lit(locale), F.col("_t"))).otherwise(F.create_map().cast("map<string,string>"))
-        out = out.join(t, "unit_id", "full_outer").select("unit_id", F.coalesce("source", "_s").alias("source"), F.coalesce("ordinal", F.col("_o") + F.lit(1 << 40)).alias("ordinal"), F.map_concat(F.coalesce("targets", F.create_map().cast("map<string,string>")), entry).alias("targets"))
+def merged(base: DataFrame, translations: dict[str, DataFrame]) -> DataFrame:
+    """(unit_id, source, ordinal, targets): a catalogue and its translations, joined by id in full.
+
+    ``base`` has unit_id, source and ordinal, a translation target too; ids that the base
+    lacks come last, with their own source.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    out = base.select("unit_id", "source", "ordinal", empty.alias("targets"))
+    for locale, rows in translations.items():
+        t = rows.select("unit_id", F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("ordinal").alias("_o"))
+        entry = F.when(F.col("_t").isNotNull(), F.create_map(F.lit(locale), F.col("_t"))).otherwise(empty)
+        out = out.join(t, "unit_id", "full_outer").select("unit_id", F.coalesce("source", "_s").alias("source"), F.coalesce("ordinal", F.col("_o") + F.lit(1 << 40)).alias("ordinal"), F.map_concat(F.coalesce("targets", empty), entry).alias("targets"))
     return out
+
+
+def read_targets(spark: SparkSession, source_path: str, target_paths: dict[str, str]) -> DataFrame:
+    """A catalogue file and the files of its translations, as ``merged`` joins them."""
+    return merged(read(spark, source_path, "source"), {locale: read(spark, path) for locale, path in target_paths.items()})

@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segmenta.functions.text import LANGUAGES, column_index, header_locale
-from segmenta.schema import unit
-from segmenta.sources.common import local, open_package, read_files
+from segmenta.functions.text import LANGUAGES, column_index, header_locale, tabular_status
+from segmenta.schema import unit, unit_type
+from segmenta.sources.common import local, open_package, read_files, units_frame
 
 _ALIASES = {
     "id": {"id", "key", "unit_id", "string_id", "identifier", "name"},
@@ -155,14 +156,23 @@ def rows_units(rows: Iterable[list[str]], path: str = "", prefix: str = "csv", *
     return [row_unit(r, i, layout, prefix) for i, r in enumerate(rows[1:] if layout.header else rows) if any(r)]
 
 
+def delimiter_of(text: str) -> str:
+    """The delimiter of a table: of those that divide all its records into as many fields, more than one, the one with most; else a comma."""
+    best, most = ",", 1
+    for d in ",;\t|":
+        widths = {len(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=d) if r}
+        if len(widths) == 1 and (n := widths.pop()) > most:
+            best, most = d, n
+    if most == 1:  # records of different lengths: what the first one has most of
+        first = next((r for r in io.StringIO(text, newline="") if r.strip()), "")
+        best = max(",;\t|", key=first.count) if any(d in first for d in ",;\t|") else ","
+    return best
+
+
 def csv_rows(content: bytes) -> list[list[str]]:
+    """The records of a table; the whole text decides on the delimiter, quotes are doubled inside quotes."""
     text = content.decode("utf-8-sig")
-    try:
-        dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel  # type: ignore[assignment]
-    dialect.doublequote = True
-    return list(csv.reader(io.StringIO(text, newline=""), dialect))
+    return list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter_of(text)))
 
 
 def xlsx_rows(content: bytes, sheet: str | int = 0) -> list[list[str]]:
@@ -205,3 +215,47 @@ def read_csv(spark: SparkSession, path: str, **options: object) -> DataFrame:
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | int = 0, **options: object) -> DataFrame:
     return read_files(spark, path, lambda content, name: rows_units(xlsx_rows(content, sheet), name, "xlsx", **options))
+
+
+def read_csv_lines(spark: SparkSession, path: str, delimiter: str = ",", **options: object) -> DataFrame:
+    """Units of CSV files whose records have no line breaks, by a splittable scan of native expressions.
+
+    All files have the columns of the first one and, if it has a header, the same header.
+    Records without an id are numbered by split and line, so their ids tell nothing of
+    their order.  ``options`` are those of ``resolve``.  Blank records are left out.
+    """
+    lines = spark.read.options(header=False, sep=delimiter, quote='"', escape='"', encoding="UTF-8", nullValue="\x00", emptyValue="").csv(path)
+    first = lines.first()
+    if first is None:
+        return units_frame(spark, [])
+    head = [(x or "").lstrip("\ufeff") for x in first]
+    layout = resolve(head, **options)  # type: ignore[arg-type]
+    cell = lambda i: F.coalesce(F.col(lines.columns[i]), F.lit("")) if i is not None else F.lit("")
+    rows = lines.withColumn("_n", F.monotonically_increasing_id()).withColumn("_path", F.col("_metadata.file_path"))
+    if layout.header:
+        same = F.lit(True)
+        for i, name in enumerate(head):
+            same = same & (F.ltrim(cell(i), F.lit("\ufeff")) == F.lit(name))
+        rows = rows.where(~same)
+    filled = F.lit(False)
+    for i in range(len(head)):
+        filled = filled | (cell(i) != "")
+    types = {f.name: f.dataType for f in unit_type().fields}
+    kind = types["targets"].valueType  # type: ignore[attr-defined]
+    status = tabular_status(cell(layout.status))
+    note = F.when(cell(layout.comment) != "", F.array(F.struct(*[(cell(layout.comment) if f.name == "context" else F.lit(None)).cast(f.dataType).alias(f.name) for f in types["comments"].elementType.fields])))  # type: ignore[attr-defined]
+    extra = F.map_filter(F.create_map(*[x for k, i in layout.extras.items() for x in (F.lit(k), cell(i))]) if layout.extras else F.create_map().cast("map<string,string>"), lambda _, v: v != "")
+    value = {"text": lambda i: cell(i), "status": lambda _: status}
+    entries = [F.struct(F.lit(loc).alias("key"), F.when(cell(i) != "", F.struct(*[value.get(f.name, lambda _: F.lit(None))(i).cast(f.dataType).alias(f.name) for f in kind.fields])).alias("value")) for loc, i in layout.targets.items()]
+    one = len(layout.targets) == 1
+    locale = next(iter(layout.targets), None)
+    have = {
+        "doc_id": F.col("_path"), "ordinal": F.col("_n"), "unit_id": F.when(cell(layout.id) != "", cell(layout.id)).otherwise(F.concat(F.lit("csv:"), F.col("_n").cast("string"))),
+        "source": cell(layout.source), "source_locale": F.lit(layout.source_locale), "status": status, "extensions": extra, "comments": note,
+        "target": F.when(cell(layout.targets[locale]) != "", cell(layout.targets[locale])) if one else F.lit(None), "target_locale": F.lit(locale or None) if one else F.lit(None),
+        "targets": F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())) if not one and entries else F.create_map(),
+        "target_locales": F.array(*[F.lit(x) for x in layout.targets]) if not one else F.array(),
+    }
+    empty = {"comments": F.array()}
+    made = [(F.coalesce(have.get(c, F.lit(None)).cast(t), empty[c].cast(t)) if c in empty else have.get(c, F.lit(None)).cast(t)).alias(c) for c, t in types.items()]
+    return rows.where(filled).select(*made)

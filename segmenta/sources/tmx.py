@@ -5,16 +5,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree as ET
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.functions.inline import Builder
 from segmenta.functions.text import TMX_STATUS
-from segmenta.schema import unit
-from segmenta.sources.common import from_json_rows, local, read_files
+from segmenta.schema import UNIT_COLUMNS, UNIT_DDL, unit
+from segmenta.sources.common import local, read_files
 
 MODES = ("full", "text", "text_with_status")
 _LANG = "{http://www.w3.org/XML/1998/namespace}lang"
@@ -22,6 +23,7 @@ _CODES = {"bpt": "open", "ept": "close", "ph": "standalone", "it": "standalone",
 _META = {"creationdate": "created", "changedate": "updated", "lastusagedate": "last_used"}
 
 
+@lru_cache(maxsize=4096)
 def canonical(locale: str) -> str:
     parts = locale.strip().replace("_", "-").split("-")
     return "-".join([parts[0].lower(), *[p.upper() if len(p) == 2 and p.isalpha() else p.title() if len(p) == 4 and p.isalpha() else p for p in parts[1:]]])
@@ -29,6 +31,9 @@ def canonical(locale: str) -> str:
 
 def _segment(seg: ET.Element) -> Builder:
     b, pairs = Builder(), {}
+    if not len(seg):
+        b.text(seg.text)
+        return b
     inner = lambda e: "".join(e.itertext())
 
     def walk(e: ET.Element) -> None:
@@ -110,7 +115,20 @@ def tu_unit(tu: ET.Element, srclang: str, target_locale: str | None = None, mode
     return out
 
 
-_START = re.compile(r"<tu[\s>]")
+_BARE = json.JSONEncoder(ensure_ascii=False, check_circular=False).encode
+
+
+def _elements(records: list[str]) -> Iterator[ET.Element]:
+    """The tu elements of records that begin with <tu and lack the end tag, parsed together."""
+    try:
+        yield from ET.fromstring("<b>" + "".join(f"{r}</tu>" for r in records) + "</b>")
+    except ET.ParseError:
+        for r in records:  # tells which record is broken
+            try:
+                ET.fromstring(f"{r}</tu>")
+            except ET.ParseError as e:
+                raise ValueError(f"not a tu element ({e}): {r[:200]!r}") from e
+        raise
 
 
 def parse(content: bytes, target_locale: str | None = None, mode: str = "full", source_locale: str | None = None) -> list[dict]:
@@ -141,22 +159,43 @@ def read(spark: SparkSession, path: str, source_locale: str | None = None, targe
         raise ValueError(f"unknown mode: {mode!r}")
     if not splittable:
         return read_files(spark, path, lambda content, _: parse(content, target_locale, mode, source_locale))
-    raw = spark.read.option("lineSep", "</tu>").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    # the header is in the first record of a file; its language is one small value for each
-    heads = raw.where(F.col("value").contains("<header")).groupBy("path").agg(F.regexp_extract(F.min_by("value", F.struct("block", "n")), r"<header[^>]*?\ssrclang=[\"']([^\"']*)", 1).alias("srclang"))
-    rows = raw.where(F.regexp_like("value", F.lit(r"<tu[\s>]"))).join(heads, "path", "left")
-    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("path").orderBy("block", "n")) - 1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = []
-            for text, name, srclang, ordinal in zip(f["value"], f["path"], f["srclang"], f["ordinal"], strict=True):
-                begin = _START.search(text).start()  # type: ignore[union-attr]
-                u = tu_unit(ET.fromstring(text[begin:] + "</tu>"), source_locale or srclang or "*all*", target_locale, mode)
-                made.append(json.dumps(u | {"doc_id": name, "ordinal": int(ordinal)}))
-            yield pd.DataFrame({"json": made})
-
-    units = from_json_rows(rows.select("value", "path", "srclang", "ordinal").mapInPandas(run, "json string"))
-    from segmenta.operators.lookup import generated_ids
-
-    return generated_ids(units)
+    raw = spark.read.option("lineSep", "</tu>").text(path).select(F.regexp_extract("value", r"(?s)<tu(?:\s[^>]*)?>.*$", 0).alias("tu"), "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    # places in a file come from counts of its splits, so that no file has to go through one task; the driver gets
+    # a row for each split, as it has for each task anyway
+    start = F.regexp_extract("tu", r"^<tu[^>]*>", 0)
+    unnamed = (F.col("tu") != "") & ~F.regexp_like(start, F.lit(r"\stuid\s*=\s*[\"'][^\"']"))
+    head = F.max(F.when(F.col("value").contains("<header"), F.regexp_extract("value", r"<header[^>]*?\ssrclang=[\"']([^\"']*)", 1)))
+    splits = raw.groupBy("path", "block").agg(F.count_if(F.col("tu") != "").alias("n"), F.count_if(unnamed).alias("unnamed"), head.alias("srclang")).collect()
+    places, languages = [], {}
+    at, first, auto = None, 0, 0
+    for r in sorted(splits, key=lambda r: (r.path, r.block)):
+        if r.path != at:
+            at, first, auto = r.path, 0, 0
+        places.append((r.path, r.block, first, auto))
+        first, auto = first + r.n, auto + r.unnamed
+        if r.srclang:
+            languages[r.path] = r.srclang
+    usual = max(sorted(set(languages.values())), key=list(languages.values()).count) if len(set(languages.values())) > 1 else next(iter(languages.values()), "*all*")
+    others = {r.path: languages.get(r.path, "*all*") for r in splits if languages.get(r.path, "*all*") != usual}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple = ()
+        i = auto = 0
+        for batch in batches:
+            made, place, count = [], [], []
+            names, blocks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for tu, name, block in zip(_elements(batch.column(0).to_pylist()), names, blocks, strict=True):
+                if (name, block) != at:
+                    at, i, auto = (name, block), 0, 0
+                u = tu_unit(tu, source_locale or others.get(name, usual), target_locale, mode)
+                made.append(_BARE({k: v for k, v in u.items() if v is not None}))
+                place.append(i)
+                count.append(auto)
+                i, auto = i + 1, auto + (not u["unit_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), batch.column(1), batch.column(2), pa.array(place, pa.int64()), pa.array(count, pa.int64())], ["json", "path", "block", "i", "auto"])
+
+    found = raw.where("tu <> ''").select("tu", "path", "block").mapInArrow(run, "json string, path string, block bigint, i bigint, auto bigint")
+    of = spark.createDataFrame(places, "path string, block bigint, first bigint, first_auto bigint")
+    units = found.select(F.from_json("json", UNIT_DDL).alias("u"), "path", "block", "i", "auto").join(of, ["path", "block"])
+    own = {"doc_id": F.col("path"), "ordinal": F.col("first") + F.col("i"), "unit_id": F.coalesce("u.unit_id", F.concat(F.lit("auto_"), (F.col("first_auto") + F.col("auto")).cast("string")))}
+    return units.select(*[own.get(c, F.col(f"u.{c}")).alias(c) for c in UNIT_COLUMNS])

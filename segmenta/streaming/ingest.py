@@ -58,4 +58,4 @@ def batches(units: DataFrame, size: int, callback: Callable[[list], None]) -> in
 
 def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type; rows later than ``late`` are left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"))
