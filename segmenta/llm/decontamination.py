@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,28 +122,44 @@ class Matcher:
         return out
 
 
-def _item_shards(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.trim("text") != "")
+_known: dict[tuple[int, float], Matcher] = {}
+
+
+def _matcher(items: Broadcast, rate: float) -> Matcher:
+    """The matcher of a shard, made once in a worker; the last one is kept."""
+    key = (items._bid if hasattr(items, "_bid") else id(items), rate)
+    if key not in _known:
+        _known.clear()
+        _known[key] = Matcher(items.value, rate)
+    return _known[key]
+
+
+def _item_shards(benchmark: DataFrame, least_chars: int) -> Iterator[Broadcast]:
+    """Shards of items as broadcasts, of SHARD_CHARS characters at most, about."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where((F.trim("text") != "") & (F.length("text") >= least_chars))
     n = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // SHARD_CHARS + 1
     for shard in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == shard) if n > 1 else items
-        yield [(r[0], r[1]) for r in part.collect()]
+        yield context.broadcast([(r[0], r[1]) for r in part.collect()])
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = 1) -> DataFrame:
     """(doc_id, item_id, distance, budget): every item that a document has within its error budget.
 
     The benchmark is read in shards of SHARD_CHARS characters, each with an
-    automaton of its own, so what a task holds is bounded.  Null and empty texts
-    and items match nothing.  Repeated rows of documents give repeated results;
+    automaton of its own, so what a task holds is bounded, and the documents are read
+    once for each shard.  Items shorter than ``least_chars`` are left out; by default none
+    is, so an item of one word matches every document that holds it.  Null and empty
+    texts and items match nothing; an empty table on either side gives no rows.  Repeated rows of documents give repeated results;
     a repeated item counts by its least distance.  Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = None
-    for items in _item_shards(benchmark):
+    for items in _item_shards(benchmark, least_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+        def run(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(items, rate)
             budget = {}
             for it in matcher.items:
                 budget[it.id] = max(it.k, budget.get(it.id, 0))
@@ -161,17 +178,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
     return found
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = 1) -> DataFrame:
     """The documents that hold no benchmark item; a filter inside the scan, with no shuffle.
 
-    Columns are those of documents; repeated rows stay repeated.  Null texts are kept.
+    Columns are those of documents, unchanged; others are left out, whatever their names.
+    Repeated rows stay repeated.  Null and empty texts are kept, as are all when there are
+    no items.  ``least_chars`` is that of ``leaks``.
     """
     kept = documents.select(*DOCUMENT_COLUMNS)
     schema = kept.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    for items in _item_shards(benchmark):
+    for items in _item_shards(benchmark, least_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+        def run(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(items, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(1)], pa.bool_()))
 

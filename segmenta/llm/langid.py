@@ -21,9 +21,8 @@ from segmenta.llm.common import DOCUMENT_COLUMNS, map_batches
 
 HIDDEN = 16
 WINDOW = 64
-#: The bound of the training sample: documents of a language, windows of a document.
+#: The bound of the training sample: documents of a language, with all their windows.
 SAMPLE_DOCUMENTS = 400
-SAMPLE_WINDOWS = 8
 #: Beyond so many languages, training takes more steps and texts are run in smaller pieces, in proportion.
 USUAL_LANGUAGES = 32
 STEPS = 150
@@ -163,9 +162,11 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: int, steps: int =
 
 
 def _windows(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, padded with 0; number of windows of each text) of texts laid end to end."""
+    """(windows, padded with 0; number of windows of each text) of texts laid end to end; a NUL in a text is read as a blank."""
     sizes = np.diff(offs)
     counts = -(-sizes // WINDOW)
+    if (body == 0).any():
+        body = np.where(body == 0, np.uint8(32), body)
     first = np.repeat(offs[:-1], counts) + WINDOW * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
     end = np.repeat(offs[1:], counts)
     at = first[:, None] + np.arange(WINDOW)
@@ -208,8 +209,8 @@ def position_labels(p: Params, text: str) -> np.ndarray:
 def fit(documents: DataFrame) -> tuple[list[str], Params | None]:
     """(languages, network) from the documents that have a language.
 
-    Every language is a class.  The driver gets SAMPLE_DOCUMENTS times SAMPLE_WINDOWS
-    windows of each, about, whatever the table's size.
+    Every language is a class.  The driver gets the whole texts of SAMPLE_DOCUMENTS
+    documents of each, about, whatever the table's size.
     """
     counts = documents.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().collect()
     names = sorted(r[0] for r in counts)
@@ -225,16 +226,17 @@ def fit(documents: DataFrame) -> tuple[list[str], Params | None]:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 windows, n = _windows(body, np.array([0, len(body)]))
-                for i in np.unique(np.linspace(0, n[0] - 1, min(SAMPLE_WINDOWS, n[0])).astype(int)) if n[0] else []:
-                    label.append(index[lang])
-                    out.append(windows[i].tobytes())
+                label.append(index[lang])
+                out.append(windows.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(out, pa.binary())], ["label", "bytes"])
 
     rows = sorted((r[0], bytes(r[1])) for r in map_batches(documents.where(draw).select("lang", "text"), run, "label int, bytes binary").collect())
     if not rows:
         return names, None
     windows = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
-    labels = np.array([r[0] for r in rows])
+    labels = np.repeat([r[0] for r in rows], [len(r[1]) // WINDOW for r in rows])
+    if not len(windows):
+        return names, None
     return names, train(windows, labels, len(names), -(-STEPS * max(USUAL_LANGUAGES, len(names)) // USUAL_LANGUAGES))
 
 
@@ -274,7 +276,12 @@ def identify(documents: DataFrame, model: tuple[list[str], Params | None] | None
 
 
 def keep_identified(documents: DataFrame, model: tuple[list[str], Params | None] | None = None) -> DataFrame:
-    """The documents that ``identify`` keeps, with the columns of documents, unchanged."""
+    """The documents that ``identify`` keeps, with the columns of documents, unchanged.
+
+    Null and empty texts go; where no row has a language, every other text stays.
+    Repeated rows are judged each; an empty table stays empty; other columns are left
+    out, whatever their names.
+    """
     names, p = model or fit(documents)
     whole = documents.select(*DOCUMENT_COLUMNS)
     schema = whole.schema.simpleString()[len("struct<") : -1].replace(":", " ")

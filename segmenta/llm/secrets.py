@@ -3,7 +3,13 @@
 A candidate is a run of MIN_LENGTH or more characters that keys are made of.  Its
 character class sets the threshold; the Shannon entropy of every window of WINDOW
 characters is computed from counts that are updated by one character in and one
-out.  Candidates that match the allow list are suppressed.
+out.  Candidates that the allow list matches as a whole are suppressed.
+
+What is left out on purpose: numbers of 13 to 19 digits (cards, accounts, phones) by
+the allow list; keys shorter than MIN_LENGTH; keys whose best window is below the
+threshold of their class, which are those made of few different characters.  Keys of
+letters of one case look like long words, whose windows reach 3.5 bits, so of random
+ones with 16, 20, 24 and 32 letters only about 29, 51, 64 and 84 % are found.
 """
 
 from __future__ import annotations
@@ -19,21 +25,25 @@ from pyspark.sql import functions as F
 from segmenta.llm.common import map_batches
 
 WINDOW = 16
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+MIN_LENGTH = 16
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
 #: (class, pattern of the whole candidate, least entropy in bits of its best window), the first that matches counts.
 CLASSES: tuple[tuple[str, str, float], ...] = (
-    ("digits", r"[0-9/_+-]+=*", 9.0),
+    ("digits", r"[0-9/_+-]+=*", 2.7),
     ("hex", r"[0-9a-f]+|[0-9A-F]+", 2.6),
-    ("letters", r"[a-z/_+-]+=*|[A-Z/_+-]+=*", 3.6),
+    ("letters", r"[A-Z]?[a-z/_+-]+=*|[A-Z/_+-]+=*", 3.6),
     ("upper", r"[A-Z0-9]+=*", 3.0),
     ("lower", r"[a-z0-9]+=*", 3.1),
     ("base64", r"[A-Za-z0-9+/_-]+=*", 3.3),
 )
-#: Candidates that are known to be harmless: identifiers, examples, runs of the alphabet, words joined by marks.
+#: Candidates that are known to be harmless: identifiers, examples, runs of the alphabet, card and phone numbers and
+#: dates, words and numbers joined by marks.
 ALLOWED: tuple[str, ...] = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r".*(EXAMPLE|example|xxxxxxxx|XXXXXXXX|00000000).*",
+    r".*(EXAMPLE|example|xxxxxxxx|XXXXXXXX).*",
     r".*(0123456789|abcdefghij|ABCDEFGHIJ|qwertyuiop).*",
+    r"[0-9]{13,19}",
+    r"[+]?[0-9]{1,8}([/_+-]+[0-9]{1,8})+",
     r"/?([A-Z]?[a-z]+|[0-9]+)([/_-]+([A-Z]?[a-z]+|[0-9]+))+/?",
 )
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
