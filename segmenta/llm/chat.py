@@ -31,41 +31,63 @@ def _segments(template: dict[str, list[tuple[str, bool]]]) -> Column:
     return out
 
 
+#: Turn numbers of a block.  A block is one row while roles are run through the machine, so this bounds a row.
+BLOCK = 256
+
+
+def _checked(machine: dict[str, dict[str, str]], accepting: tuple[str, ...], template: dict[str, list[tuple[str, bool]]]) -> tuple[list[str], dict[str, list[int]]]:
+    """(states, number of the state that each role leads to from each state); -1 where the machine has no step."""
+    states = ["start", *sorted({*machine, *[to for steps in machine.values() for to in steps.values()]} - {"start"})]
+    roles = sorted({role for steps in machine.values() for role in steps})
+    if lacking := sorted(set(roles) - set(template)):
+        raise ValueError(f"the template lacks roles of the machine: {lacking}")
+    if unknown := sorted(set(accepting) - set(states)):
+        raise ValueError(f"no such states: {unknown}")
+    place = {s: i for i, s in enumerate(states)}
+    return states, {role: [place.get(machine.get(s, {}).get(role, ""), -1) for s in states] for role in roles}
+
+
 def format_chats(conversations: DataFrame, machine: dict[str, dict[str, str]] = MACHINE, accepting: tuple[str, ...] = ACCEPTING, template: dict[str, list[tuple[str, bool]]] = TEMPLATE) -> DataFrame:
     """(conv_id, position, segment, role, segment_text, loss, error): the segments of valid conversations, in order.
 
-    Turns are in the order of turn, nulls first, then role and text; turns that
-    agree in turn number are a fault.  In this machine a state is named by the role
-    that leads into it, so each step is a check of two adjacent turns and the whole
-    is one sort by conversation.  A conversation with a fault has one row: null
-    position and text, and the first of null_field (a null role, text or turn),
-    repeated_turn, bad_transition, bad_end.  Empty texts are texts.  A null conv_id
-    is a conversation of its own.  An empty table gives no rows; other columns are
-    ignored.
+    ``machine`` is any finite-state machine over roles, whose states need not be named
+    by roles; it starts in "start" and must end in an ``accepting`` state.  Turns are in
+    the order of their numbers; turns that agree in number are a fault.  A conversation
+    with a fault has one row: null position, role and text, and the first of null_field
+    (a null role, text or turn), repeated_turn, bad_transition, bad_end.  Empty texts are
+    texts.  A null conv_id is a conversation of its own.  An empty table gives no rows;
+    other columns are ignored, whatever their names.  A machine with a role that the
+    template lacks, or an accepting state that it lacks, is refused.
+
+    A conversation is never in one task as a whole: equal turn numbers are counted before
+    the shuffle, blocks of BLOCK turn numbers become functions from state to state, and
+    these, one short row a block, are composed by conversation.  Texts go through one
+    shuffle by block.
     """
-    for state, steps in machine.items():
-        if any(role != to for role, to in steps.items()):
-            raise ValueError(f"state {state}: a step must lead to the state of its role")
-    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    whole = Window.partitionBy("conv_id")
-    allowed = F.array(*[F.lit(f"{state}>{role}") for state, steps in machine.items() for role in steps])
-    turns = conversations.select("conv_id", "turn", "role", "text").select(
-        "*",
-        (F.row_number().over(by) - 1).cast("bigint").alias("position"),
-        F.coalesce(F.lag("role").over(by), F.lit("start")).alias("_before"),
-        F.lag("turn").over(by).alias("_turn"),
-        (F.row_number().over(by) == F.count("*").over(whole)).alias("_last"),
-    )
-    fault = (
-        F.when(F.col("turn").isNull() | F.col("role").isNull() | F.col("text").isNull(), "1null_field")
-        .when(F.col("turn") == F.col("_turn"), "2repeated_turn")
-        .when(~F.array_contains(allowed, F.concat("_before", F.lit(">"), "role")), "3bad_transition")
-        .when(F.col("_last") & ~F.col("role").isin(*accepting), "4bad_end")
-    )
-    judged = turns.withColumn("error", F.substring(F.min(fault).over(whole), 2, 99))
-    good = judged.where("error IS NULL").select("conv_id", "position", "role", F.inline(_segments(template)), F.lit(None).cast("string").alias("error"))
-    bad = judged.where("error IS NOT NULL AND position = 0").select("conv_id", F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("int").alias("segment"), F.lit(None).cast("string").alias("segment_text"), F.lit(None).cast("boolean").alias("loss"), "error")
-    return good.select(bad.columns).unionByName(bad)
+    states, steps = _checked(machine, accepting, template)
+    turns = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text", F.floor(F.col("turn") / F.lit(BLOCK)).cast("bigint").alias("_block"))
+    each = turns.groupBy("conv_id", "_block", "turn").agg(F.count("*").alias("n"), F.min("role").alias("role"), F.max(F.col("turn").isNull() | F.col("role").isNull() | F.col("text").isNull()).alias("lacks"))
+    table = F.create_map(*[x for role, to in steps.items() for x in (F.lit(role), F.array(*map(F.lit, to)))]) if steps else F.create_map().cast("map<string,array<int>>")
+    step = lambda state, role: F.when(state < 0, F.lit(-1)).otherwise(F.coalesce(F.try_element_at(table, role)[F.greatest(state, F.lit(0))], F.lit(-1)))
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.coalesce(x["role"], F.lit("")))
+    blocks = each.groupBy("conv_id", "_block").agg(F.count("*").alias("turns"), F.max("lacks").alias("lacks"), F.max(F.col("n") > 1).alias("repeats"), roles.alias("roles"))
+    becomes = F.array(*[F.aggregate("roles", F.lit(i), step) for i in range(len(states))])
+    blocks = blocks.select("conv_id", "_block", "turns", "lacks", "repeats", becomes.alias("becomes"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("_block", "becomes"))), lambda x: x["becomes"])
+    whole = blocks.groupBy("conv_id").agg(F.max("lacks").alias("lacks"), F.max("repeats").alias("repeats"), path.alias("path"))
+    end = F.aggregate("path", F.lit(0), lambda state, to: F.when(state < 0, F.lit(-1)).otherwise(to[F.greatest(state, F.lit(0))]))
+    last = [states.index(x) for x in accepting]
+    fault = F.when(F.col("lacks"), "null_field").when(F.col("repeats"), "repeated_turn").when(F.col("end") < 0, "bad_transition").when(~F.col("end").isin(last), "bad_end")
+    judged = whole.withColumn("end", end).select("conv_id", fault.alias("error"))
+    good = judged.where("error IS NULL").select(F.col("conv_id").alias("_conv"))
+    before = F.sum("turns").over(Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    places = blocks.select("conv_id", "_block", "turns").join(good, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(F.col("conv_id").alias("_conv"), F.col("_block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "_block").orderBy("turn")) - 1
+    kept = turns.join(places, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_block") == F.col("_b"))).withColumn("position", (F.col("_before") + inside).cast("bigint"))
+    out = kept.select("conv_id", "position", "role", F.inline(_segments(template)), F.lit(None).cast("string").alias("error"))
+    none = {"position": "bigint", "role": "string", "segment": "int", "segment_text": "string", "loss": "boolean"}
+    bad = judged.where("error IS NOT NULL").select("conv_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "error")
+    return out.select(bad.columns).unionByName(bad)
 
 
 def chats_sql() -> str:

@@ -84,6 +84,36 @@ def test_chats_by_machine_and_by_sql(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chats_of_any_machine(spark, monkeypatch):
+    """States that aren't named by roles: a critic speaks once at most, after two turns of the assistant."""
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    machine = {"start": {"user": "asked"}, "asked": {"assistant": "one"}, "one": {"user": "asked", "assistant": "two"}, "two": {"critic": "judged", "user": "asked"}, "judged": {}}
+    template = chat.TEMPLATE | {"critic": [("<c>", False), ("{text}", False)]}
+    rng, rows, want = random.Random(6), [], {}
+    for conv in range(120):
+        seq = [rng.choice(["user", "assistant", "assistant", "critic"]) for _ in range(rng.randrange(1, 12))]
+        if conv % 2:
+            seq = ["user", "assistant", "assistant"] * rng.randrange(1, 5) + ["critic"] * (conv % 4 == 1)
+        state = "start"
+        for r in seq:
+            state = machine.get(state, {}).get(r) if state else None
+        want[conv] = "bad_transition" if state is None else None if state in ("two", "judged") else "bad_end"
+        rows += [(conv, 7 * i, r, f"t{i}") for i, r in enumerate(seq)]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("error", F.lit("clash")).withColumn("position", F.lit(-1))
+    got = {}
+    for r in chat.format_chats(turns, machine, ("two", "judged"), template).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert {k: v[0].error for k, v in got.items()} == want and len(set(want.values())) == 3
+    for conv, v in got.items():
+        if v[0].error is None:
+            texts = [r.segment_text for r in sorted(v, key=lambda r: (r.position, r.segment)) if r.segment_text.startswith("t")]
+            assert texts == [t for _, _, _, t in sorted(x for x in rows if x[0] == conv)] and sorted({r.position for r in v}) == list(range(len(texts)))
+    with pytest.raises(ValueError, match="critic"):
+        chat.format_chats(turns, machine, ("two",))
+    assert chat.format_chats(turns.where("false"), machine, ("two",), template).count() == 0
+
+
 def test_stages_equal_their_operators(spark, tmp_path):
     """Each stage on all that its predecessor kept, against the operators run by hand, and the ids read back."""
     rng = random.Random(9)
