@@ -4,19 +4,23 @@ The ids of a partition's documents are laid end to end and divided into blocks o
 BLOCK ids.  A block is transposed into planes: plane i holds bit i (or byte i) of
 every id.  Each plane is compressed by itself, so high planes, which hardly vary,
 shrink to nothing.  A row of the result is one chunk; its columns other than
-``data`` are the chunk index.
+``data`` are the chunk index.  ``write_files`` puts the chunks of a stream into one file
+and keeps the index beside it; ``read_files`` seeks chunks by their position.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.llm import tokens
@@ -130,8 +134,77 @@ def write_ids(documents: DataFrame, vocabulary: str | None = None, block: int =
     return map_batches(docs, run, SCHEMA)
 
 
+def _file_system(folder: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(folder) if "://" in folder else (LocalFileSystem(), folder)
+
+
+def write_files(documents: DataFrame, folder: str, **options: Any) -> DataFrame:
+    """The chunks of ``write_ids`` as a file for each stream, ``<folder>/<stream>.planes``, with an index in ``<folder>/index``.
+
+    Returns the index: a row for each chunk, without data.  A file is written beside its
+    place and moved there when its partition is done, so a task that is run again writes
+    the same file again and a lost one leaves none that is half written.  ``folder`` is one
+    that all executors share, a path or a URI that pyarrow knows.  Nulls, empty and long
+    texts and repeated rows are listed as by ``write_ids``; an empty table gives an empty
+    index and no file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
+        out, place, part = None, "", f"{uuid.uuid4().hex}.part"
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                place = f"{root}/{batch.column(0)[0].as_py()}.planes"
+                out = fs.open_output_stream(f"{place}.{part}")
+            for data in batch.column(len(_NAMES) - 1):
+                out.write(data.as_buffer())
+            yield batch.select(_NAMES[:-1])
+        if out is not None:
+            out.close()
+            fs.move(f"{place}.{part}", place)
+
+    index = write_ids(documents, **options).mapInArrow(run, SCHEMA.rpartition(", ")[0])
+    index.write.mode("overwrite").parquet(f"{folder}/index")
+    return documents.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
+
+
+def read_files(spark: SparkSession, folder: str, doc_ids: DataFrame | None = None) -> DataFrame:
+    """(stream, doc_row, doc_id, ids) of documents that ``write_files`` wrote: of all, or of those in ``doc_ids``.
+
+    Only the chunks that hold a wanted document are read, each by seeking its position.
+    A null doc_id is wanted if ``doc_ids`` has a null; unknown ones give no rows.
+    """
+    index = spark.read.schema(SCHEMA.rpartition(", ")[0]).parquet(f"{folder}/index")
+    wanted = None
+    if doc_ids is not None:
+        wanted = doc_ids.select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
+        own = index.select("stream", "chunk", F.explode("doc_id").alias("doc_id")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        index = index.join(own.select("stream", "chunk").distinct(), ["stream", "chunk"], "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _file_system(folder)
+        for batch in batches:
+            data = []
+            for stream, at, sizes in zip(batch.column("stream").to_pylist(), batch.column("position").to_pylist(), batch.column("plane_bytes").to_pylist(), strict=True):
+                with fs.open_input_file(f"{root}/{stream}.planes") as f:
+                    f.seek(at)
+                    data.append(f.read(sum(sizes)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in _NAMES[:-1]], pa.array(data, pa.binary())], _NAMES)
+
+    found = read_ids(index.select(*_NAMES[:-1]).mapInArrow(run, SCHEMA))
+    return found if wanted is None else found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def read_ids(chunks: DataFrame) -> DataFrame:
-    """(stream, doc_row, doc_id, ids) of each document of ``write_ids``."""
+    """(stream, doc_row, doc_id, ids) of each document of ``write_ids``.
+
+    Documents without ids have an empty list, null ids stay null, repeated rows are
+    documents of their own, by their place in the stream.  No chunks give no rows; other
+    columns are ignored.
+    """
     parts = "stream string, chunk int, doc_row bigint, doc_id bigint, ids array<int>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

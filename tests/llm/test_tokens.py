@@ -60,6 +60,22 @@ def test_written_ids_round_trip(spark, coder, block):
         by[r.stream] = r.position + len(r.data)
 
 
+def test_files_are_read_by_position(spark, coder, tmp_path):
+    rows = [(1, "one two three"), (2, None), (3, ""), (3, ""), (None, "no id"), (4, "long " * 3000), (5, "last"), (5, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit("clash")).repartition(3)
+    folder = str(tmp_path / "ids")
+    index = binary.write_files(docs, folder, block=512)
+    assert "data" not in index.columns and index.count() > 6 and index.agg(F.max("position")).first()[0] > 0
+    assert not [p for p in (tmp_path / "ids").iterdir() if p.name.endswith(".part")]
+    key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, list(r.ids)) for r in df.collect())
+    want = sorted((i is None, i or 0, coder.column(pa.array([t], pa.string()))[0].tolist()) for i, t in rows)
+    assert key(binary.read_files(spark, folder)) == want
+    some = spark.createDataFrame([(4,), (None,), (3,), (77,)], "doc_id long")
+    assert key(binary.read_files(spark, folder, some)) == [w for w in want if w[0] or w[1] in (3, 4)]
+    empty = str(tmp_path / "none")
+    assert binary.write_files(docs.where("false"), empty).count() == binary.read_files(spark, empty).count() == 0
+
+
 def test_no_documents_no_chunks(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert binary.write_ids(empty).count() == 0 and counts.count_tokens(empty).count() == 0
