@@ -355,13 +355,42 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.crossJoin(locales).select(F.concat_ws(":", "item_id", "source_locale").alias("query_id"), "source", "source_locale", F.lit("xx").alias("target_locale"), none.alias("previous_source"), none.alias("next_source"))
 
 
-@query()
+def _grams(side: str) -> str:
+    """Distinct trigrams of each source of a side, by joining all that share one: brute force."""
+    words = r"regexp_extract_all(lower(source), '[\p{L}\p{N}]+')"
+    return f"SELECT DISTINCT {_LOC}, source, unnest(list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS gram FROM {side}"
+
+
+def _fuzzy_sql(side: str, threshold: float, limit: int) -> str:
+    """CTEs down to ``f``, the fuzzy matches of the queries in ``side`` among ``m``."""
+    return f"""ga AS ({_grams(side)}), gb AS ({_grams("m")}),
+    na AS (SELECT {_LOC}, source AS a, count(*) AS n_a FROM ga GROUP BY ALL), nb AS (SELECT {_LOC}, source AS b, count(*) AS n_b FROM gb GROUP BY ALL),
+    p AS (SELECT ga.source_locale, ga.target_locale, ga.source AS a, gb.source AS b, count(*) AS n FROM ga JOIN gb USING ({_LOC}, gram) GROUP BY ALL),
+    s AS (SELECT {_LOC}, a, b, n / (n_a + n_b - n) AS score FROM p JOIN na USING ({_LOC}, a) JOIN nb USING ({_LOC}, b) WHERE n / (n_a + n_b - n) >= {threshold}),
+    r AS (SELECT {_LOC}, a, score, unit_id, target FROM s JOIN (SELECT {_LOC}, source AS b, unit_id, target, usage_count FROM m) USING ({_LOC}, b)
+          QUALIFY row_number() OVER (PARTITION BY {_LOC}, a ORDER BY score DESC, usage_count DESC, unit_id) <= {limit}),
+    f AS (SELECT query_id, unit_id, r.target, score, 'fuzzy' AS kind FROM {side} x JOIN r ON x.source_locale = r.source_locale AND x.target_locale = r.target_locale AND x.source = r.a)"""
+
+
+_ITEMS = f"""q AS (SELECT item_id || ':' || source_locale AS query_id, text AS source, source_locale, 'xx' AS target_locale, NULL AS previous_source, NULL AS next_source, md5(lower(text)) AS source_hash,
+      md5(lower(text) || '||') AS context_hash FROM benchmark, (SELECT DISTINCT lang AS source_locale FROM documents)), m AS ({v.MEMORY_SQL})"""
+
+
+@query(f"WITH {_ITEMS}, {_fuzzy_sql('q', 0.6, 5)} SELECT * FROM f")
 def match_fuzzy_trgm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The memory's lines that are similar to a benchmark item."""
     return matching.fuzzy(_items(spark, sf_dir), v.memory(v.translated(spark, sf_dir)), 0.6)
 
 
-@query()
+@query(f"""WITH {_ITEMS},
+    mi AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source_hash, context_hash, {_LOC} ORDER BY usage_count DESC, unit_id) = 1),
+    me AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source_hash, {_LOC} ORDER BY usage_count DESC, unit_id) <= 5),
+    i AS (SELECT q.query_id, mi.unit_id, mi.target, CAST(1 AS DOUBLE) AS score, 'ice' AS kind FROM q JOIN mi USING (source_hash, context_hash, {_LOC})),
+    e AS (SELECT q.query_id, me.unit_id, me.target, CAST(1 AS DOUBLE) AS score, 'exact' AS kind FROM q JOIN me USING (source_hash, {_LOC}) WHERE query_id NOT IN (SELECT query_id FROM i)),
+    rest AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM i UNION ALL SELECT query_id FROM e)), {_fuzzy_sql('rest', 0.6, 5)},
+    t AS (SELECT * FROM i UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f),
+    c AS (SELECT t.query_id, t.unit_id, t.score, {_EQ(_NORM.format("q.source"), _NORM.format("m.source"))} AS source_equal, true AS tags_equal, true AS previous_equal, true AS next_equal, t.kind AS was FROM t JOIN q USING (query_id) JOIN m ON t.unit_id = m.unit_id)
+    SELECT query_id, unit_id, score, CASE WHEN source_equal AND was = 'ice' THEN 'ice' WHEN source_equal THEN 'exact' ELSE 'fuzzy' END AS kind, source_equal, tags_equal, previous_equal, next_equal FROM c""")
 def match_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiers for all benchmark items in one join, classified."""
     q, m = _items(spark, sf_dir), v.memory(v.translated(spark, sf_dir))
@@ -369,19 +398,13 @@ def match_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT p_partkey AS unit_id, p_partkey AS ordinal, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM part),
-    b AS (SELECT p_brand AS query_id, unnest(list_distinct(string_split(lower(min(p_name || ' ' || p_type)), ' '))) AS token FROM part GROUP BY p_brand),
-    c AS (SELECT query_id, unit_id, count(*) AS shared, min(ordinal) AS ordinal FROM a JOIN b USING (token) GROUP BY ALL)
-    SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, ordinal, unit_id) <= 1000""")
+    q AS (SELECT p_partkey AS query_id, lower(p_name || ' ' || p_type) AS text FROM part),
+    b AS (SELECT text, unnest(list_distinct(string_split(text, ' '))) AS token FROM (SELECT DISTINCT text FROM q)),
+    n AS (SELECT text, unit_id, count(*) AS shared, min(ordinal) AS ordinal FROM a JOIN b USING (token) GROUP BY text, unit_id),
+    c AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY text ORDER BY shared DESC, ordinal, unit_id) <= 1000)
+    SELECT query_id, unit_id, shared, ordinal FROM q JOIN c USING (text)""")
 def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of a sequence-ratio search, at most max(200 limit, 1000) of a query, as the operator defines it."""
-    p = table(spark, sf_dir, "part")
-    q = p.groupBy(F.col("p_brand").alias("query_id")).agg(F.min(F.concat_ws(" ", "p_name", "p_type")).alias("source"))
-    return matching.token_candidates(q, p.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source")))
-
-
-@query()
-def token_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``token_candidates``, with every part as a query; equal texts are searched once."""
+    """Candidates of a sequence-ratio search for every part, as many of each as the operator defines; equal texts are searched once."""
     p = table(spark, sf_dir, "part")
     rows = p.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("source"))
     found = matching.token_candidates(rows.select(F.col("source").alias("query_id"), "source").distinct(), p.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("source")))
@@ -594,7 +617,7 @@ def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.units(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(f"SELECT normalized, count(*) AS n FROM (SELECT trim(regexp_replace(replace(lower(source), 'ß', 'ss'), '\\s+', ' ', 'g')) AS normalized FROM ({v.UNITS_SQL})) GROUP BY normalized")
 def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Casefolded sources and how many units share each."""
     return v.units(spark, sf_dir).select(fx.casefolded("source").alias("normalized")).groupBy("normalized").agg(F.count("*").alias("n"))

@@ -132,7 +132,7 @@ def test_token_candidates_of_every_part(spark, tmp_path):
     names, types = ["blue anvil", "old plate", "blue bolt", "cold ring"], ["SMALL", "ECONOMY", "COLD"]
     rows = [(i, names[i % 4], types[i % 3], f"Brand#{i % 2}") for i in range(30)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    got = sorted(map(tuple, core.token_candidates_all(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, core.token_candidates(spark, str(tmp_path)).collect()))
     shared = lambda name, kind, u: len(set(f"{name} {kind}".lower().split()) & set(u.split()))
     assert got == [(i, j, n, j) for i, name, kind, _ in rows for j, u, _, _ in rows if (n := shared(name, kind, u))]
 
