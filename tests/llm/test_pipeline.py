@@ -150,6 +150,26 @@ def test_stages_equal_their_operators(spark, tmp_path):
         assert r.ids == full or coder.decode(r.ids) == texts[r.doc_id][: len(coder.decode(r.ids))]
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, then no rows at all."""
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choice(["the", "ing", "and", "wh", "er"]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(40), "en", "s", 1) for i in range(20)] + [(50, None, None, None, None), (51, "", "", "", 0), (None, text(30), None, "s", None), (52, text(30_000), "en", None, 7), (3, None, "en", "s", 1)]
+    rows += [rows[4], rows[4]]
+    clash = {c: F.lit("clash") for c in ("node", "n", "first", "rows", "r0", "tokens", "epoch", "_key", "_bucket", "part", "key", "stream", "doc", "item_id", "detected", "kept")}
+    odd = spark.createDataFrame(rows, DOCS).withColumns(clash)
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs, some in ((odd, True), (odd.where("false"), False)):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{some}{i}"))
+            out = spark.read.parquet(str(tmp_path / f"{some}{i}"))
+            assert (out.count() > 0) == some and (i == 4 or sorted(out.columns) == sorted(DOCS.replace(" long", "").replace(" string", "").split(", ")))
+            if some and name == "simhash_near_dedup":
+                assert sorted(r.doc_id for r in out.where("doc_id = 4").collect()) == [4] and out.where("doc_id = 52").count() == 1
+            docs = out.withColumns({k: x for k, x in clash.items() if k not in out.columns}) if i < 4 else out
+        spark.createDataFrame([], DOCS).count()
+
+
 def test_shared_folder_is_the_sessions(spark):
     from segmenta.llm import common
 
