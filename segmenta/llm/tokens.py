@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark.sql import SparkSession
 
 from segmenta.llm import textkernel as tk
 
@@ -37,8 +38,10 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def vocabulary_path(folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> str:
-    return os.path.join(folder, name)
+def vocabulary_path(folder: str | None = None, name: str = VOCABULARY) -> str:
+    """A vocabulary file in ``folder``, else in the one that the session names in ``spark.segmenta.tokenizers``, else in TOKENIZER_DIR."""
+    session = SparkSession.getActiveSession() if folder is None else None
+    return os.path.join(folder or (session.conf.get("spark.segmenta.tokenizers", None) if session is not None else None) or TOKENIZER_DIR, name)
 
 
 _BLANK = np.zeros(256, bool)
