@@ -9,6 +9,7 @@ and Myers' bit-parallel distance over the window round each hit decides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -122,26 +123,30 @@ class Matcher:
         return out
 
 
-_known: dict[tuple[int, float], Matcher] = {}
+_known: dict[tuple[str, float], Matcher] = {}
 
 
-def _matcher(items: Broadcast, rate: float) -> Matcher:
-    """The matcher of a shard, made once in a worker; the last one is kept."""
-    key = (items._bid if hasattr(items, "_bid") else id(items), rate)
-    if key not in _known:
+def _matcher(shard: tuple[str, Broadcast], rate: float) -> Matcher:
+    """The matcher of a shard, made once in a worker; the last one is kept.
+
+    A worker serves many jobs, so the key is the shard's own name: the address of a
+    broadcast in a worker can be that of an earlier job's.
+    """
+    name, items = shard
+    if (name, rate) not in _known:
         _known.clear()
-        _known[key] = Matcher(items.value, rate)
-    return _known[key]
+        _known[name, rate] = Matcher(items.value, rate)
+    return _known[name, rate]
 
 
-def _item_shards(benchmark: DataFrame, least_chars: int) -> Iterator[Broadcast]:
-    """Shards of items as broadcasts, of SHARD_CHARS characters at most, about."""
+def _item_shards(benchmark: DataFrame, least_chars: int) -> Iterator[tuple[str, Broadcast]]:
+    """Shards of items, of SHARD_CHARS characters at most, about: a name that no other shard has, and a broadcast."""
     context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where((F.trim("text") != "") & (F.length("text") >= least_chars))
     n = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // SHARD_CHARS + 1
     for shard in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == shard) if n > 1 else items
-        yield context.broadcast([(r[0], r[1]) for r in part.collect()])
+        yield uuid.uuid4().hex, context.broadcast([(r[0], r[1]) for r in part.collect()])
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = 1) -> DataFrame:
@@ -156,10 +161,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = None
-    for items in _item_shards(benchmark, least_chars):
+    for shard in _item_shards(benchmark, least_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, rate)
+        def run(batches: Iterator[pa.RecordBatch], shard: tuple[str, Broadcast] = shard) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(shard, rate)
             budget = {}
             for it in matcher.items:
                 budget[it.id] = max(it.k, budget.get(it.id, 0))
@@ -187,10 +192,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = ERRO
     """
     kept = documents.select(*DOCUMENT_COLUMNS)
     schema = kept.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    for items in _item_shards(benchmark, least_chars):
+    for shard in _item_shards(benchmark, least_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, rate)
+        def run(batches: Iterator[pa.RecordBatch], shard: tuple[str, Broadcast] = shard) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(shard, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(1)], pa.bool_()))
 

@@ -56,6 +56,14 @@ def test_bit_parallel_distance(item, text):
         assert dec.Item(1, item, k).least(text, k + 1) == min(k + 1, brute_distance(item, text))
 
 
+def test_each_benchmark_has_its_own_matcher(spark):
+    words = [f"passage number {i} of a benchmark with words enough" for i in range(12)]
+    docs = frame(spark, [(i, f"before {w} after") for i, w in enumerate(words)]).repartition(8)
+    for i, w in enumerate(words):
+        bench = spark.createDataFrame([(i, w)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in dec.leaks(docs, bench).where("distance = 0").collect()] == [(i, i)]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(3)
     items = [(i, prose(rng, 12)) for i in range(12)] + [(90, None), (91, ""), (92, "  "), (None, prose(rng, 9)), (5, prose(rng, 10))]
