@@ -237,3 +237,48 @@ def test_own_json_refuses_unknown_values():
     assert regen.regen_tmx(TMX.encode(), {"a": "neu", "auto_1": "x"}, "fr-FR").decode().count("<seg>neu</seg>") == 1
     again = tmx.parse(regen.regen_tmx(TMX.encode(), {"a": "neu", "auto_1": "x"}, "fr-FR"), "fr-FR")
     assert [u["target"] for u in again] == ["neu", "Un", "x"]
+
+
+def test_files_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    def refuse(*_, **__):
+        raise AssertionError("rows go to the driver")
+
+    monkeypatch.setattr(Frame, "toLocalIterator", refuse)
+    made = [unit(unit_id=f"k{i}", source=f"a, \"b\"\n{i}", target=f"c {i}", target_locale="fr", source_locale="en", ordinal=i, extensions={"resource": f"r{i // 2}"}) for i in range(5)]
+    units = units_frame(spark, made)
+    for suffix in ("tmx", "xliff", "csv", "xlsx", "po", "json", "html"):
+        path = str(tmp_path / f"a.{suffix}")
+        assert files.write(units.repartition(3), path) == (tmp_path / f"a.{suffix}").stat().st_size
+        assert detect.read(spark, path).count() == 5, suffix
+    assert (tmp_path / "a.xliff").read_text().count("<file ") == 3  # one for each resource, over all parts
+
+
+def test_parsers_stream():
+    """The first unit is there before the file has been read to its end."""
+    many = [unit(unit_id=f"k{i}", source="word " * 20, target="mots " * 20, target_locale="fr", ordinal=i) for i in range(30_000)]
+    rows = "\n".join(files.tmx_record(u) for u in many)
+    made = {"tmx": f"<tmx version='1.4'><header srclang='en'/><body>{rows}</body></tmx>", "po": files.po_text(many, "fr"), "html": files.html_page(many, "fr"), "json": unit_json.dump(many)}
+    for name, text in made.items():
+        f = io.BytesIO(text.encode())
+        units = detect.parse_file(f, f"a.{name}")
+        first = next(iter(units))
+        assert f.tell() < len(text) - 1_000_000, name
+        assert [first, *units] == detect.parse_bytes(text.encode(), f"a.{name}")
+
+
+def test_repeated_ids_of_own_json():
+    text = '{"format_version": 1, "data": {"a": {"source": "x"}, "b": {"source": "y"}, "a": {"source": "z"}}}'
+    assert [(u["unit_id"], u["source"], u["ordinal"]) for u in unit_json.parse(text)] == [("a", "z", 0), ("b", "y", 1)]
+
+
+def test_xliff_merged_by_shuffle(spark, tmp_path):
+    text = '<xliff version="1.2">' + "".join(f'<file source-language="en" target-language="{loc}" original="o"><body><trans-unit id="b"><source/><target>{loc} b</target></trans-unit><trans-unit id="a"><source>A</source><target>{loc} a</target><note>{loc}</note></trans-unit></body></file>' for loc in ("fr", "de")) + "</xliff>"
+    (tmp_path / "a.xlf").write_text(text)
+    found = {r.unit_id: r for r in xliff.read(spark, str(tmp_path / "a.xlf")).collect()}
+    for u in xliff.parse(text.encode()):
+        r = found.pop(u["unit_id"])
+        assert (r.ordinal, r.source, r.target, r.target_locales, [c.context for c in r.comments]) == (u["ordinal"], u["source"], u["target"], u["target_locales"], [c["context"] for c in u["comments"]])
+        assert {k: v.text for k, v in r.targets.items()} == {k: v["text"] for k, v in u["targets"].items()}
+    assert not found
