@@ -101,7 +101,7 @@ def xliff_regen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An XLIFF file with new targets put in."""
     folder = scratch(spark)
     files.write_xliff(single(spark, sf_dir), f"{folder}/parts.xlf", target_locale="fr")
-    return xliff.read(spark, _rewritten(spark, f"{folder}/parts.xlf", regen.regen_xliff)).select("unit_id", "source", "target")
+    return xliff.read(spark, _renewed(spark, f"{folder}/parts.xlf", regen.xliff_file())).select("unit_id", "source", "target")
 
 
 @query(f"SELECT unit_id, source, 'new ' || unit_id AS fr, de FROM {PARTS}")
@@ -109,7 +109,7 @@ def tmx_regen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TMX file with new variants of one locale; the other stays."""
     folder = scratch(spark)
     files.write_tmx(parts(spark, sf_dir), f"{folder}/parts.tmx")
-    return tmx.read(spark, _rewritten(spark, f"{folder}/parts.tmx", lambda c, t: regen.regen_tmx(c, t, "fr"))).select("unit_id", "source", _text("fr").alias("fr"), _text("de").alias("de"))
+    return tmx.read(spark, _renewed(spark, f"{folder}/parts.tmx", regen.tmx_file("fr"))).select("unit_id", "source", _text("fr").alias("fr"), _text("de").alias("de"))
 
 
 def _content(spark: SparkSession, path: str) -> bytes:
@@ -124,6 +124,14 @@ def _rewritten(spark: SparkSession, path: str, make) -> str:  # noqa: ANN001
     return out
 
 
+def _renewed(spark: SparkSession, path: str, kind: object) -> str:
+    """The same by executors, for files of any size."""
+    out = f"{path.rpartition('/')[0]}/new-{path.rpartition('/')[2]}"
+    units = xliff.read(spark, path) if path.endswith(".xlf") else tmx.read(spark, path) if path.endswith(".tmx") else detect.read(spark, path)
+    regen.rewrite(spark, path, out, units.select("unit_id", F.concat(F.lit("new "), "unit_id").alias("target")), kind)
+    return out
+
+
 # --- tables ---------------------------------------------------------------------------------
 
 
@@ -147,7 +155,7 @@ def csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_regen(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     files.write_csv(single(spark, sf_dir), f"{folder}/parts.csv")
-    return tabular.read_csv(spark, _rewritten(spark, f"{folder}/parts.csv", lambda c, t: regen.regen_csv(c, t, "fr"))).select("unit_id", "source", F.coalesce("target", _text("fr")).alias("target"))
+    return tabular.read_csv(spark, _renewed(spark, f"{folder}/parts.csv", regen.csv_file("fr"))).select("unit_id", "source", F.coalesce("target", _text("fr")).alias("target"))
 
 
 @query(f"SELECT unit_id, place AS ordinal, source, fr, de, 'approved' AS status, note FROM {PARTS}")
@@ -207,7 +215,7 @@ def po_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def po_regen(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     files.write_po(_in_context(single(spark, sf_dir)), f"{folder}/parts.po", "fr")
-    return po.read(spark, _rewritten(spark, f"{folder}/parts.po", regen.regen_po)).select(F.substring_index("unit_id", "\x04", 1).alias("unit_id"), "source", "target")
+    return po.read(spark, _renewed(spark, f"{folder}/parts.po", regen.po_file())).select(F.substring_index("unit_id", "\x04", 1).alias("unit_id"), "source", "target")
 
 
 @query("SELECT p_brand || '.k' || p_partkey AS unit_id, p_name AS source, upper(p_type) AS fr, CASE WHEN p_size > 25 THEN lower(p_type) END AS de FROM part")

@@ -312,7 +312,7 @@ def _xlsx_row(row: list[str]) -> str:
     return '<row r="\0">' + "".join(f'<c r="{name(i)}\0" t="inlineStr"><is><t xml:space="preserve">{text(v)}</t></is></c>' for i, v in enumerate(row)) + "</row>"
 
 
-def _lines(pieces: Iterable[bytes]) -> Iterator[bytes]:
+def lines_of(pieces: Iterable[bytes]) -> Iterator[bytes]:
     left = b""
     for piece in pieces:
         *whole, left = (left + piece).split(b"\n")
@@ -349,7 +349,7 @@ def write_xlsx(units: DataFrame, path: str) -> int:
     locales = _locales(units)
     head = _xlsx_row(next(table_rows([], locales))).encode()
     with tempfile.TemporaryFile() as f:
-        _write_book(f, chained([head], _lines(in_order(units, lambda u: _xlsx_row(_table_row(u, locales))))))
+        _write_book(f, chained([head], lines_of(in_order(units, lambda u: _xlsx_row(_table_row(u, locales))))))
         f.seek(0)
         return publish(path, iter(lambda: f.read(_PIECE), b""))
 

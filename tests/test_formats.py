@@ -282,3 +282,33 @@ def test_xliff_merged_by_shuffle(spark, tmp_path):
         assert (r.ordinal, r.source, r.target, r.target_locales, [c.context for c in r.comments]) == (u["ordinal"], u["source"], u["target"], u["target_locales"], [c["context"] for c in u["comments"]])
         assert {k: v.text for k, v in r.targets.items()} == {k: v["text"] for k, v in u["targets"].items()}
     assert not found
+
+
+def test_rewrite_is_what_regeneration_of_bytes_gives(spark, tmp_path, monkeypatch):
+    """Originals rewritten by executors, in many splits; no file is read whole."""
+    from segmenta.sources import common
+
+    def refuse(*_, **__):
+        raise AssertionError("a whole file is read")
+
+    monkeypatch.setattr(common, "read_files", refuse)
+    two = '<xliff version="2.1" srcLang="en" trgLang="de"><file id="f"><unit id="u"><segment id="s"><source>x</source></segment><segment><source>y</source><target>z</target></segment></unit></file></xliff>\n'
+    table = 'id,en,fr\na,"Hi, ""you""\nthere",Salut\nb,Yo,\n,No,\n'
+    entries = PO.replace("\n\n", "\n \t\n\n", 1)
+    cases = [
+        ("a.tmx", TMX, regen.tmx_file("fr-FR"), {"a": "n<eu", "auto_1": "x"}, lambda c, t: regen.regen_tmx(c, t, "fr-FR")),
+        ("a.xlf", XLIFF.replace("{loc}", "de"), regen.xliff_file(), {"u2": "Tschüs", "u1": "Ça"}, regen.regen_xliff),
+        ("b.xlf", two, regen.xliff_file("2.1"), {"u:s": "neu & x", "u:0": "p"}, regen.regen_xliff),
+        ("a.csv", table, regen.csv_file("fr"), {"b": "Oh, la", "csv:2": "x"}, lambda c, t: regen.regen_csv(c, t, "fr")),
+        ("a.po", entries, regen.po_file(), {"one\tfile": "neu", "menu\x04file[2]": "fajlov"}, regen.regen_po),
+    ]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        for name, text, kind, new, whole in cases:
+            (tmp_path / name).write_bytes(text.encode())
+            given = spark.createDataFrame(list(new.items()), "unit_id string, target string")
+            regen.rewrite(spark, str(tmp_path / name), str(tmp_path / f"new-{name}"), given, kind)
+            made = (tmp_path / f"new-{name}").read_bytes()
+            assert made == whole(text.encode(), new) != text.encode(), name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
