@@ -56,10 +56,10 @@ def split_targets(units: DataFrame) -> DataFrame:
 
 
 def locales_in_order(units: DataFrame) -> DataFrame:
-    """(doc_id, locale, place): target locales of a document as they come up first."""
+    """(doc_id, locale, place): target locales of a document as they come up first; of equal places by name."""
     seen = units.select("doc_id", "ordinal", F.posexplode(F.array_sort(F.map_keys("targets"))).alias("i", "locale"))
     first = seen.groupBy("doc_id", "locale").agg(F.min(F.struct("ordinal", "i")).alias("first"))
-    return first.select("doc_id", "locale", (F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1).alias("place"))
+    return first.select("doc_id", "locale", (F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "locale")) - 1).alias("place"))
 
 
 def first_status() -> Column:
