@@ -312,3 +312,14 @@ def test_rewrite_is_what_regeneration_of_bytes_gives(spark, tmp_path, monkeypatc
             assert made == whole(text.encode(), new) != text.encode(), name
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_workbook_rewritten_by_executors(spark, tmp_path):
+    book = files.xlsx_bytes([["id", "en", "fr", "note"], ["a", "x & y", "z", "n"], [], ["b", "two\nlines", "", ""], ["", "no id", "", ""]])
+    (tmp_path / "a.xlsx").write_bytes(book)
+    new = {"a": "neu <1>", "xlsx:3": "o"}
+    targets_ = spark.createDataFrame(list(new.items()), "unit_id string, target string")
+    assert regen.rewrite_xlsx(spark, str(tmp_path / "a.xlsx"), str(tmp_path / "b.xlsx"), targets_, "fr") > 0
+    rows = tabular.xlsx_rows((tmp_path / "b.xlsx").read_bytes())
+    assert rows == tabular.xlsx_rows(regen.regen_xlsx(book, new, "fr"))
+    assert [r[2] for r in rows if r] == ["fr", "neu <1>", "", "o"] and rows[3][1] == "two\nlines"
