@@ -131,7 +131,7 @@ def _news(units: DataFrame) -> DataFrame:
 def _renewed(spark: SparkSession, path: str, kind: object) -> str:
     """The same by executors, for files of any size."""
     out = f"{path.rpartition('/')[0]}/new-{path.rpartition('/')[2]}"
-    units = xliff.read(spark, path) if path.endswith(".xlf") else tmx.read(spark, path) if path.endswith(".tmx") else detect.read(spark, path)
+    units = xliff.read(spark, path) if path.endswith(".xlf") else tmx.read(spark, path) if path.endswith(".tmx") else html.read(spark, path) if path.endswith(".html") else detect.read(spark, path)
     regen.rewrite(spark, path, out, _news(units), kind)
     return out
 
@@ -287,7 +287,7 @@ def html_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_regen(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     files.write_html(single(spark, sf_dir), f"{folder}/parts.html", "fr")
-    return html.read(spark, _rewritten(spark, f"{folder}/parts.html", regen.regen_html)).select("unit_id", "source")
+    return html.read(spark, _renewed(spark, f"{folder}/parts.html", regen.html_file())).select("unit_id", "source")
 
 
 def package(entries: dict[str, str]) -> bytes:

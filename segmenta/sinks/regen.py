@@ -11,6 +11,8 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from html import unescape
+from itertools import islice, takewhile
 from typing import IO
 from xml.etree import ElementTree as ET
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from segmenta.functions.inline import escape
 from segmenta.plans.shared import scratch
 from segmenta.sinks import files
-from segmenta.sources import office, po, tabular, tmx
+from segmenta.sources import html, office, po, tabular, tmx
 from segmenta.sources.common import local, open_package, over_files
 
 Targets = dict[str, str]
@@ -234,11 +236,9 @@ def regen_office(original: bytes, targets: Targets, missing: str = "keep", extra
 
 def regen_html(original: bytes, targets: Targets) -> bytes:
     """Pages with new texts in the blocks that have one source text, found in order."""
-    from segmenta.sources.html import page_units
-
     text = original.decode("utf-8", "replace")
     at = 0
-    for u in page_units(text):
+    for u in html.page_units(text):
         new, source = targets.get(u["unit_id"]), u["source"]
         for spelled in (source, escape(source), escape(source, True)):
             found = text.find(spelled, at if not u["unit_id"].startswith("html:meta") else 0)
@@ -450,6 +450,56 @@ class _Xlsx:
         return json.loads(text)[1]
 
 
+_TEXTS = re.compile(r"""<!--.*?-->|<(?:[^<>"']|"[^"]*"|'[^']*')*>|([^<]+|<)""", re.DOTALL)
+
+
+class _Html:
+    """Runs of a page outside of open blocks; a text is replaced in its own block, where one piece of text there is its source."""
+
+    separator = mark = ">"
+
+    def pieces(self, f: IO[bytes]) -> Iterator[Piece]:
+        for text, units in html.cut_units(f):
+            yield [u[0] for u in units], json.dumps([units, text])
+
+    def put(self, text: str, new: Targets) -> str:
+        units, page = json.loads(text)
+        units.sort(key=lambda u: u[2])  # an outer block comes before those inside it
+        changes = []
+        for n, (key, source, begin, end) in enumerate(units):
+            if key in new and (found := self._place(page, units, n)):
+                name = key.split(":")[1]
+                spelled = escape(new[key], name in ("meta", "img"))
+                changes.append((*found, f'"{spelled}"' if name in ("meta", "img") else spelled))
+        out, at = [], 0
+        for begin, end, value in sorted(changes):
+            out += [page[at:begin], value]
+            at = end
+        return "".join([*out, page[at:]])
+
+    @staticmethod
+    def _place(page: str, units: list, n: int) -> tuple[int, int] | None:
+        key, source, begin, end = units[n]
+        source = source.strip()
+        if (name := key.split(":")[1]) in ("meta", "img"):
+            attribute = "content" if name == "meta" else "alt"
+            for m in re.finditer(rf"""(?<![\w-]){attribute}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", page[begin:end], re.IGNORECASE):
+                if unescape(m[1].strip(m[1][0] if m[1][0] in "\"'" else "")).strip() == source:
+                    return begin + m.start(1), begin + m.end(1)
+            return None
+        inner = list(takewhile(lambda u: u[2] < end, islice(units, n + 1, None)))
+        for m in _TEXTS.finditer(page, begin, end):
+            if m[1] is None or unescape(m[1]).strip() != source or any(u[2] <= m.start() < u[3] for u in inner):
+                continue
+            for spelled in (source, escape(source), escape(source, True), m[1].strip()):
+                if (at := m[1].find(spelled)) >= 0:
+                    return m.start() + at, m.start() + at + len(spelled)
+        return None
+
+    def plain(self, text: str) -> str:
+        return json.loads(text)[1]
+
+
 def rewrite_xlsx(spark: SparkSession, path: str, out: str, targets: DataFrame, target_locale: str | None = None, sheet: str | int = 0, **options: object) -> int:
     """A workbook with the targets in the target column of a sheet; other entries are copied as they are."""
     with tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
@@ -482,7 +532,7 @@ def xliff_file(version: str = "1.2") -> _Xml:
     return _Xml("</unit>" if version.startswith("2") else "</trans-unit>")
 
 
-csv_file, po_file = _Csv, _Po
+csv_file, po_file, html_file = _Csv, _Po, _Html
 
 
 def rewrite(spark: SparkSession, path: str, out: str, targets: DataFrame, kind: object) -> int:
@@ -490,7 +540,7 @@ def rewrite(spark: SparkSession, path: str, out: str, targets: DataFrame, kind:
 
     A task cuts the original into records as a stream; targets are joined by id and put in by executors,
     which write the records in order.  ``kind`` is made by ``tmx_file``, ``xliff_file``,
-    ``csv_file`` or ``po_file``.
+    ``csv_file``, ``po_file`` or ``html_file``.
     """
     return files.publish(out, _renewed(spark, path, targets, kind))
 

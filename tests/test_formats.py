@@ -323,3 +323,40 @@ def test_workbook_rewritten_by_executors(spark, tmp_path):
     rows = tabular.xlsx_rows((tmp_path / "b.xlsx").read_bytes())
     assert rows == tabular.xlsx_rows(regen.regen_xlsx(book, new, "fr"))
     assert [r[2] for r in rows if r] == ["fr", "neu <1>", "", "o"] and rows[3][1] == "two\nlines"
+
+
+def _rewritten_page(page: str, new: dict[str, str], size: int = 1 << 13) -> str:
+    kind = regen.html_file()
+    out = []
+    for text, units in html.cut_units(io.BytesIO(page.encode()), size):
+        own = {u[0]: new[u[0]] for u in units if u[0] in new}
+        packed = json.dumps([units, text])
+        out.append(kind.put(packed, own) if own else kind.plain(packed))
+    return ">".join(out)
+
+
+ODD_PAGE = (
+    '<html lang="en"><head><title>Same</title><meta name="description" content="Same"></head><body data-x="a>b"><!-- > --><p>a > b<p>caf&eacute; <p>Same</p>'
+    '<ul><li>x<p>x</p><li> own <ul><li>in</ul></ul><img src="x" data-alt="x" alt="x"><p><a href="x">x</a></p><p>a <b>c</b></p><script>1 > 0</script><p>last'
+)
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 13])
+def test_pages_are_cut_and_rewritten_in_their_own_blocks(size):
+    units = {u["unit_id"]: u["source"] for u in html.page_units(ODD_PAGE)}
+    cut = [u for _, some in html.cut_units(io.BytesIO(ODD_PAGE.encode()), size) for u in some]
+    assert {k: s.strip() for k, s, _, _ in cut} == {k: s.strip() for k, s in units.items()} and len(cut) == len(units)
+    assert _rewritten_page(ODD_PAGE, {}, size) == ODD_PAGE
+    new = {k: f"<{k}>" for k in units}
+    got = {u["unit_id"]: u["source"] for u in html.page_units(_rewritten_page(ODD_PAGE, new, size))}
+    split = next(k for k, s in units.items() if s == "a c")  # by an inline element: it stays
+    assert got == new | {split: "a c"}
+    assert _rewritten_page(ODD_PAGE, {"html:title:1": "New"}, size) == ODD_PAGE.replace("<title>Same", "<title>New")
+
+
+def test_pages_are_rewritten_by_executors(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<body>" + "".join(f"<p>text {i % 7}</p>\n" for i in range(3000)))
+    new = spark.range(3000).selectExpr("concat('html:p:', id) AS unit_id", "concat('new ', id) AS target").where("id % 2 = 0")
+    regen.rewrite(spark, str(tmp_path / "a.html"), str(tmp_path / "b.html"), new, regen.html_file())
+    assert (tmp_path / "b.html").read_text() == "<body>" + "".join(f"<p>{f'new {i}' if i % 2 == 0 else f'text {i % 7}'}</p>\n" for i in range(3000))
+    assert max(len(text) for text, _ in html.cut_units((tmp_path / "a.html").open("rb"))) < 1 << 15
