@@ -75,11 +75,29 @@ def exploded(units: DataFrame, project: str | None = None, domain: str | None =
     return out
 
 
+#: Bytes of files that a partition gets, which are several times as many in memory.
+PARTITION_BYTES = 1 << 20
+
+
+def partitions_for(*sides: DataFrame) -> int:
+    """How many partitions keep a sort of any of these frames small, by the tables that they read.
+
+    Adaptive plans would join small compressed partitions to ones that are large in memory.
+    """
+    def size(df: DataFrame) -> int:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+        return sum(x for x in sizes if x < 1 << 60)  # rows that are no table have no size: the greatest number stands for it
+
+    least = int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(20_000, -(-max(map(size, sides)) // PARTITION_BYTES)))
+
+
 def first_of_key(rows: DataFrame) -> DataFrame:
     """The first row (by doc_id, ordinal, unit_key) of equal source, target, locales and neighbours, whatever the case of the sources."""
     keys = [F.lower("source"), F.col("target"), F.col("source_locale"), F.col("target_locale"), F.lower("previous_source"), F.lower("next_source")]
     w = Window.partitionBy(*keys).orderBy("doc_id", "ordinal", "unit_key")
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return rows.repartition(partitions_for(rows), *keys).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def row_id() -> Column:
@@ -97,8 +115,9 @@ def upserted(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("id", row_id())
 
-    fresh = keyed(new).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("unit_key"))).where("_r = 1")
-    o, n = old.alias("o"), fresh.alias("n")
+    parts = partitions_for(old, new)
+    fresh = keyed(new).repartition(parts, "id").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("unit_key"))).where("_r = 1")
+    o, n = old.repartition(parts, "id").alias("o"), fresh.alias("n")
     both = o.join(n, F.col("o.id") == F.col("n.id"), "full_outer")
     met, added = F.col("n.id").isNotNull(), F.col("o.id").isNull()
     made = []
@@ -117,8 +136,9 @@ def upserted(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 
 def replaced_children(children: DataFrame, new: DataFrame, touched: DataFrame, by: list[str]) -> DataFrame:
     """Children of the parents in ``touched`` give way to the ``new`` ones of those parents; all others stay."""
-    parents = touched.select(*by).distinct()
-    return children.join(parents, by, "left_anti").unionByName(new.join(parents, by, "left_semi"))
+    parts = partitions_for(children, new)
+    parents = touched.select(*by).distinct().repartition(parts, *by).hint("merge")
+    return children.repartition(parts, *by).join(parents, by, "left_anti").unionByName(new.repartition(parts, *by).join(parents, by, "left_semi"))
 
 
 def units_of(rows: DataFrame) -> DataFrame:

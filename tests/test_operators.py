@@ -341,3 +341,16 @@ def test_token_candidates_join_each_set_of_words_once(spark):
     # what the join by word gives is counted for sets of words, never for units
     counted = [line for line in plan.splitlines() if "Aggregate" in line and "shared" in line]
     assert counted and not any("unit_id" in line for line in counted)
+
+
+def test_partitions_of_sorts_follow_the_tables(spark, tmp_path):
+    from segmenta.operators import memory
+
+    spark.range(1_500_000).selectExpr("id AS unit_id", "hash(id) AS position", "'old' AS side").repartition(2).write.parquet(f"{tmp_path}/children")
+    c = spark.read.parquet(f"{tmp_path}/children")
+    out = memory.replaced_children(c, c.withColumn("side", F.lit("new")), c.where("unit_id < 1000").select("unit_id"), ["unit_id"])
+    assert memory.partitions_for(c) > 4 and out.rdd.getNumPartitions() >= memory.partitions_for(c)
+    assert {r.side: r["count"] for r in out.groupBy("side").count().collect()} == {"new": 1000, "old": 1_499_000}
+    rows = spark.read.parquet(f"{tmp_path}/children").selectExpr("'a' AS doc_id", "unit_id AS ordinal", "cast(unit_id AS string) AS unit_key", "cast(unit_id % 5000 AS string) AS source", "'t' AS target", "'en' AS source_locale", "'fr' AS target_locale", "'' AS previous_source", "'' AS next_source")
+    first = memory.first_of_key(rows)
+    assert first.rdd.getNumPartitions() == memory.partitions_for(c) and first.count() == 5000 and first.agg(F.max("ordinal")).first()[0] == 4999
