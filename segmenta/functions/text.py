@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -46,22 +47,23 @@ def trigrams(text: Column) -> Column:
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+def _word_codes(word: str) -> frozenset[int]:
+    p = [32, 32, *map(ord, word), 32]
+    return frozenset(a << 42 | b << 21 | c for a, b, c in zip(p, p[1:], p[2:], strict=False))
+
+
+_kept_codes = lru_cache(1 << 15)(_word_codes)
+
+
+def gram_codes(lowered: str) -> set[int]:
+    """The trigrams of a text in lower case as numbers, 21 bits a character: the same sets as ``trigrams``."""
+    return set().union(*(_kept_codes(w) if len(w) <= 32 else _word_codes(w) for w in set(_WORD.findall(lowered))))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))  # type: ignore[call-overload]
 def trigram_codes(lowered: pd.Series) -> pd.Series:
-    """The trigrams of texts in lower case as numbers, 21 bits a character, in order: the same sets as ``trigrams``."""
-
-    def codes(text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        out = set()
-        for word in _WORD.findall(text):
-            a, b = 32, 32
-            for c in map(ord, word + " "):
-                out.add(a << 42 | b << 21 | c)
-                a, b = b, c
-        return sorted(out)
-
-    return lowered.map(codes)
+    """``gram_codes`` of texts, in order."""
+    return lowered.map(lambda text: None if text is None else sorted(gram_codes(text)))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from segmenta.functions import plural as pl
 from segmenta.functions import text as fx
 from segmenta.operators import lookup, matching, memory, targets
 from segmenta.plans import views as v
+from segmenta.plans.shared import scratch
 from segmenta.plans.views import table
 from segmenta.sinks import files, regen
 from segmenta.sources import html, json_i18n, po
@@ -393,7 +394,9 @@ def match_fuzzy_trgm(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, unit_id, score, CASE WHEN source_equal AND was = 'ice' THEN 'ice' WHEN source_equal THEN 'exact' ELSE 'fuzzy' END AS kind, source_equal, tags_equal, previous_equal, next_equal FROM c""")
 def match_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiers for all benchmark items in one join, classified."""
-    q, m = _items(spark, sf_dir), v.memory(v.translated(spark, sf_dir))
+    folder = f"{scratch(spark)}/memory"  # a memory is stored once and read by each tier
+    v.memory(v.translated(spark, sf_dir)).write.parquet(folder)
+    q, m = _items(spark, sf_dir), spark.read.parquet(folder)
     return matching.classify(matching.match_tiers(q, m, 5, 0.6), q, m, require_context=False, limit=5)
 
 

@@ -106,6 +106,22 @@ def test_fuzzy_tier_finds_what_brute_force_finds(spark, threshold):
     assert got == want
 
 
+def test_fuzzy_tier_counts_in_shards_without_shuffling_trigrams(spark, monkeypatch):
+    from segmenta.operators import grams as counted
+
+    for name, value in (("SHARD_CHARS", 120), ("CELLS", 9), ("GRAMS", 40)):
+        monkeypatch.setattr(counted, name, value)
+    texts = [t for t in TEXTS if t] + [f"Line {i} of {i % 4} sorts \u0130" for i in range(12)] + ["word" * 20, "?!"]
+    m = _memory(spark, [(f"m{i:02}", t, "t", loc, "fr", None, None, i % 4) for i, t in enumerate(texts) for loc in ("en", "de", None)] + [("m99", None, "t", "en", "fr", None, None, 1)])
+    q = _queries(spark, [(f"q{i:02}{loc}", t + " x", loc, "fr", None, None) for i, t in enumerate(texts) for loc in ("en", "de", "it")] + [("q99", None, "en", "fr", None, None), ("q98", "Line 1", None, "fr", None, None)])
+    found = matching.fuzzy(q, m, 0.6, 1000)
+    got = sorted((r.query_id, r.unit_id, round(r.score, 9)) for r in found.collect())
+    near = [(i, j, similarity((a + " x").lower(), b.lower())) for i, a in enumerate(texts) for j, b in enumerate(texts) if grams(b)]
+    assert got == sorted((f"q{i:02}{loc}", f"m{j:02}", round(x, 9)) for i, j, x in near if x >= 0.6 for loc in ("en", "de"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan and plan.count("MapInArrow") > 3  # one pass for each shard, no row for each trigram
+
+
 def test_fuzzy_find(spark):
     u = spark.createDataFrame([(f"u{i}", i, t) for i, t in enumerate(TEXTS)], "unit_id string, ordinal int, source string")
     q = spark.createDataFrame([("a", "Hello World"), ("b", "zzz")], "query_id string, source string")
