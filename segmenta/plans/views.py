@@ -37,8 +37,12 @@ def as_units(df: DataFrame) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit for each line of a document that isn't blank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("source_locale"), F.col("source").alias("project"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
-    return docs.select("doc_id", "ordinal", F.concat_ws(":", "doc_id", "ordinal").alias("unit_id"), F.trim("line").alias("source"), "source_locale", "project").where("source <> ''")
+    return _lines(table(spark, sf_dir, "documents"))
+
+
+def _lines(documents: DataFrame, *others: str) -> DataFrame:
+    docs = documents.select("doc_id", F.col("lang").alias("source_locale"), F.col("source").alias("project"), *others, F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    return docs.select("doc_id", "ordinal", F.concat_ws(":", "doc_id", "ordinal").alias("unit_id"), F.trim("line").alias("source"), "source_locale", "project", *others).where("source <> ''")
 
 
 UNITS_SQL = """
@@ -60,9 +64,14 @@ CONTEXT_SQL = f"""
 
 
 def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units in context with hashes; those of labelled documents have a target and a status."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    u = in_context(units(spark, sf_dir)).join(labels, "doc_id", "left")
+    """Units in context with hashes; those of labelled documents have a target and a status.
+
+    Labels are joined to whole documents, so that texts are shuffled once, and not by line; a document's
+    labels stay together until its lines have their neighbours.
+    """
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.collect_list(F.struct("quality")).alias("_labels"))
+    u = in_context(_lines(table(spark, sf_dir, "documents").join(labels, "doc_id", "left"), "_labels"))
+    u = u.select("*", F.inline_outer("_labels"))
     return u.select(
         "doc_id", "ordinal", "unit_id", "source", "source_locale", F.lit("xx").alias("target_locale"), "project", "previous_source", "next_source",
         F.when(F.col("quality").isNotNull(), F.concat(F.lit("["), "source", F.lit("]"))).alias("target"),

@@ -14,6 +14,7 @@ from segmenta import queries as core
 from segmenta.functions import message, plural
 from segmenta.functions import text as fx
 from segmenta.operators import lookup, matching, memory, targets
+from segmenta.plans import views
 from segmenta.schema import unit
 from segmenta.sources.common import units_frame
 from segmenta.streaming import ingest
@@ -96,6 +97,29 @@ def test_tiers_and_classification(spark):
             matching.match_tiers(q, m, bad)
 
 
+def test_texts_are_classified_by_hashes_and_repeated_labels_stay(spark, tmp_path):
+    docs = [(1, "a\n\nb\nC", "en", "s"), (2, "A\nb", "en", "s"), (3, " a \nx", "de", "s"), (4, "", "en", "s"), (5, None, "en", "s")]
+    labels = [(1, 1), (1, 0), (2, None), (3, None), (3, 1), (9, 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [(r.unit_id, r.source, r.previous_source, r.next_source, r.target, r.status) for r in views.translated(spark, str(tmp_path)).collect()]
+    lines = {1: ("en", [(0, "a"), (2, "b"), (3, "C")]), 2: ("en", [(0, "A"), (1, "b")]), 3: ("de", [(0, "a"), (1, "x")])}
+    want = []
+    for d, (_, own) in lines.items():
+        for q in [q for i, q in labels if i == d] or [None]:
+            for i, (n, text) in enumerate(own):
+                near = [own[k][1] if 0 <= k < len(own) else None for k in (i - 1, i + 1)]
+                want.append((f"{d}:{n}", text, *near, f"[{text}]" if q is not None else None, {1: "approved", 0: "rejected", None: "new"}[q]))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    q = _queries(spark, [("q1", " Hello  world", "en", "fr", None, "n")])
+    m = _memory(spark, [("m1", "hello world ", "A", "en", "fr", "", "N", 1)])
+    found = matching.classify(spark.createDataFrame([("q1", "m1", 0.9, "ice")], "query_id string, unit_id string, score double, kind string"), q, m)
+    assert found.first()[3:] == ("ice", True, True, True, True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 6 and "lower(source" not in plan.split("Join")[0]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.0])
 def test_fuzzy_tier_finds_what_brute_force_finds(spark, threshold):
     texts = [t for t in TEXTS if t] + [f"sentence number {i} of {i % 3} kinds" for i in range(25)]
