@@ -432,8 +432,55 @@ def json_tree(units: Iterable[dict], locale: str | None = None, flat: bool = Fal
     return nest(out)
 
 
+def _json_leaf(path: list[str], opens: int, closes: int, text: str, last: bool) -> str:
+    """The lines of a text: the objects from level ``opens`` begin with it, those down to ``closes`` end after it."""
+    name = lambda k: "  " * k + json.dumps(path[k - 1], ensure_ascii=False) + ": "
+    lines = [f"{name(k)}{{" for k in range(opens, len(path))] + [name(len(path)) + json.dumps(text, ensure_ascii=False)]
+    return "\n".join([*lines, *("  " * k + "}" for k in range(len(path) - 1, closes - 1, -1))]) + ("" if last else ",")
+
+
 def write_json_i18n(units: DataFrame, path: str, locale: str | None = None, flat: bool = False) -> int:
-    return publish(path, [json.dumps(json_tree(documents(units), locale, flat), ensure_ascii=False, indent=2).encode()])
+    """One resource file, the tree of ``json_tree`` with two blanks a level.
+
+    Executors find which texts remain, in what order, and which objects begin and end with each, level by level, so no tree is built.
+    """
+    spark, folder = units.sparkSession, scratch(units.sparkSession)
+    has = lambda c, kind: F.col(c) if c in units.columns else F.lit(None).cast(kind)
+    target = (F.try_element_at("targets", F.lit(locale))["text"] if "targets" in units.columns else F.lit(None).cast("string")) if locale else has("target", "string")
+    kept = F.try_element_at(has("extensions", "map<string,string>"), F.lit("json_path"))
+    at = F.array(F.coalesce("unit_id", F.lit("null"))) if flat else F.when(kept != "", F.from_json(kept, "array<string>")).otherwise(F.split(F.coalesce("unit_id", F.lit("")), r"\."))
+    # numbers in the order of units, the same whenever they are read again
+    units.orderBy("doc_id", "ordinal").select(at.alias("path"), F.coalesce(target, "source", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("n")).write.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
+    depth, least = texts.agg(F.max(F.size("path")), F.min(F.size("path"))).first()
+    if depth is None:
+        return publish(path, [b"{}"])
+    if least < 1:
+        raise ValueError("a text has an empty path")
+    # a later text at or above a place ends what is there, as does a later object at the place of a text; a member keeps the place at which it came in
+    rows = texts.withColumns({"ended": F.lit(-1).cast("bigint"), "over": F.lit(False), "place": F.array().cast("array<bigint>")})
+    node = lambda k: F.when(F.size("path") >= k, F.to_json(F.slice("path", 1, k)))
+    for k in range(1, depth + 1):
+        rows = rows.withColumn("node", node(k))
+        seen = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("n") > F.col("ended"), F.col("n"))).alias("came"), F.max(F.when(F.size("path") == k, F.col("n"))).alias("leaf"), F.max(F.when(F.size("path") > k, F.col("n"))).alias("below"))
+        own = F.size("path") >= k
+        gone = (F.col("n") < F.col("leaf")) | ((F.size("path") == k) & (F.col("n") < F.col("below"))) | (F.col("n") < F.col("ended"))
+        rows = rows.join(seen, "node", "left").select("path", "text", "n", F.when(own, F.greatest("ended", "leaf")).otherwise(F.col("ended")).alias("ended"), (F.col("over") | F.coalesce(own & gone, F.lit(False))).alias("over"), F.when(own, F.concat("place", F.array("came"))).otherwise(F.col("place")).alias("place"))
+    rows.where("NOT over").select("path", "text", "place").write.parquet(f"{folder}/kept")
+    rows = spark.read.parquet(f"{folder}/kept")
+    end = rows.agg(F.max("place")).first()[0]
+    rows = rows.withColumns({"opens": F.size("path"), "closes": F.size("path"), "last": F.col("place") == F.array(*[F.lit(x).cast("bigint") for x in end])})
+    for k in range(depth - 1, 0, -1):
+        rows = rows.withColumn("node", F.when(F.size("path") > k, F.to_json(F.slice("path", 1, k))))
+        ends = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("place").alias("a"), F.max("place").alias("z"))
+        rows = rows.join(ends, "node", "left").withColumns({"opens": F.when(F.col("place") == F.col("a"), k).otherwise(F.col("opens")), "closes": F.when(F.col("place") == F.col("z"), k).otherwise(F.col("closes"))}).drop("node", "a", "z")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"value": [_json_leaf(list(p), o, c, t, z) for p, o, c, t, z in zip(f.path, f.opens, f.closes, f.text, f["last"], strict=True)]})
+
+    ordered = rows.orderBy("place").select("path", "text", "opens", "closes", "last").mapInPandas(run, "value string")
+    return publish(path, chained([b"{\n"], stored(ordered), [b"}"]))
 
 
 def write_unit_json(units: DataFrame, path: str, **header: object) -> int:
