@@ -131,7 +131,7 @@ def _news(units: DataFrame) -> DataFrame:
 def _renewed(spark: SparkSession, path: str, kind: object) -> str:
     """The same by executors, for files of any size."""
     out = f"{path.rpartition('/')[0]}/new-{path.rpartition('/')[2]}"
-    units = xliff.read(spark, path) if path.endswith(".xlf") else tmx.read(spark, path) if path.endswith(".tmx") else html.read(spark, path) if path.endswith(".html") else detect.read(spark, path)
+    units = xliff.read(spark, path) if path.endswith(".xlf") else tmx.read(spark, path) if path.endswith(".tmx") else html.read(spark, path) if path.endswith(".html") else json_i18n.read(spark, path) if path.endswith(".json") else detect.read(spark, path)
     regen.rewrite(spark, path, out, _news(units), kind)
     return out
 
@@ -245,7 +245,7 @@ def json_regen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A resource file with its texts replaced in place."""
     folder = scratch(spark)
     files.write_json_i18n(parts(spark, sf_dir), f"{folder}/en.json", flat=True)
-    return json_i18n.read(spark, _rewritten(spark, f"{folder}/en.json", regen.regen_json)).select("unit_id", "source")
+    return json_i18n.read(spark, _renewed(spark, f"{folder}/en.json", regen.json_file())).select("unit_id", "source")
 
 
 @query(f"SELECT unit_id, place AS ordinal, source, fr, de, note, n AS uses FROM {PARTS}")

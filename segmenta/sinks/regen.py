@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from segmenta.functions.inline import escape
 from segmenta.plans.shared import scratch
 from segmenta.sinks import files
-from segmenta.sources import html, office, po, tabular, tmx
+from segmenta.sources import html, json_i18n, office, po, tabular, tmx
 from segmenta.sources.common import local, open_package, over_files
 
 Targets = dict[str, str]
@@ -500,6 +500,27 @@ class _Html:
         return json.loads(text)[1]
 
 
+class _Json:
+    """String leaves of a resource file, each with what stands before it; all but the texts stays as it was written."""
+
+    separator = mark = '"'
+
+    def pieces(self, f: IO[bytes]) -> Iterator[Piece]:
+        if json_i18n._multilingual(f):
+            raise ValueError("a multilingual file is rewritten by regen_json")
+        f.seek(0)
+        for key, _, _, raw, place in json_i18n.named_leaves(f):
+            # the closing quote of a leaf is the mark
+            yield ([key], json.dumps([place, raw[:-1]])) if key is not None else ([], json.dumps([0, raw]))
+
+    def put(self, text: str, new: Targets) -> str:
+        place, raw = json.loads(text)
+        return raw[: place + 1] + json.dumps(next(iter(new.values())), ensure_ascii=False)[1:-1]
+
+    def plain(self, text: str) -> str:
+        return json.loads(text)[1]
+
+
 def rewrite_xlsx(spark: SparkSession, path: str, out: str, targets: DataFrame, target_locale: str | None = None, sheet: str | int = 0, **options: object) -> int:
     """A workbook with the targets in the target column of a sheet; other entries are copied as they are."""
     with tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
@@ -532,7 +553,7 @@ def xliff_file(version: str = "1.2") -> _Xml:
     return _Xml("</unit>" if version.startswith("2") else "</trans-unit>")
 
 
-csv_file, po_file, html_file = _Csv, _Po, _Html
+csv_file, po_file, html_file, json_file = _Csv, _Po, _Html, _Json
 
 
 def rewrite(spark: SparkSession, path: str, out: str, targets: DataFrame, kind: object) -> int:
@@ -540,7 +561,7 @@ def rewrite(spark: SparkSession, path: str, out: str, targets: DataFrame, kind:
 
     A task cuts the original into records as a stream; targets are joined by id and put in by executors,
     which write the records in order.  ``kind`` is made by ``tmx_file``, ``xliff_file``,
-    ``csv_file``, ``po_file`` or ``html_file``.
+    ``csv_file``, ``po_file``, ``html_file`` or ``json_file``.
     """
     return files.publish(out, _renewed(spark, path, targets, kind))
 

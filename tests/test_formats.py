@@ -156,6 +156,30 @@ def test_json_resources():
     assert json_i18n.parse('{"k": "Hi", "m": "x"}', target_locale="fr", target_texts={"fr": '{"k": "Salut"}'})[1]["status"] == "new"
 
 
+def test_json_resources_are_written_read_and_rewritten_in_pieces(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    keys = [".".join(rng.choices(["a", "b", "c", 'd"\n'], k=rng.choice([1, 2, 2, 3]))) for _ in range(60)] + ["", "z.", "a#2"]
+    units = [{"unit_id": k, "source": f"t{i} \u00fc", "doc_id": "x", "ordinal": i, "extensions": {"json_path": '["p.q", "r"]'} if i == 7 else {}} for i, k in enumerate(keys)]
+    df = units_frame(spark, [unit(**u) for u in units]).repartition(5)
+    for name, flat in (("nested", False), ("flat", True)):
+        files.write_json_i18n(df, str(tmp_path / f"{name}.json"), flat=flat)
+        assert (tmp_path / f"{name}.json").read_text() == json.dumps(files.json_tree(units, flat=flat), ensure_ascii=False, indent=2)
+    files.write_json_i18n(df.where("false"), str(tmp_path / "none.json"))
+    assert (tmp_path / "none.json").read_text() == "{}"
+    text = '\ufeff {"a": {"b": "x\\u00e9", "n": 1, "l": ["y", {"k": "v"}]},\r\n "a.b": "z", "c": null, "a.b" :"w", "e": {}, "a.b#2": "v"} \n'
+    (tmp_path / "odd.json").write_bytes(text.encode())
+    read = [(r.unit_id, r.source, r.extensions) for r in json_i18n.read(spark, str(tmp_path / "odd.json")).orderBy("ordinal").collect()]
+    assert read == [(u["unit_id"], u["source"], u["extensions"]) for u in json_i18n.parse(text[1:])]
+    assert [r[0] for r in read] == ["a.b", "a.b#2", "a.b#3", "a.b#2#2"]
+    new = spark.createDataFrame([("a.b", 'neu "1"'), ("a.b#3", ""), ("other", "o")], "unit_id string, target string")
+    regen.rewrite(spark, str(tmp_path / "odd.json"), str(tmp_path / "new.json"), new, regen.json_file())
+    assert (tmp_path / "new.json").read_bytes().decode() == text[1:].replace('"x\\u00e9"', '"neu \\"1\\""').replace('"w"', '""')
+    (tmp_path / "many.json").write_text('{"en": {"k": "Hi"}, "fr": {"k": "Salut"}}')
+    assert json_i18n.read(spark, str(tmp_path / "many.json")).first().targets["fr"].text == "Salut"
+
+
 def test_html_units_and_regeneration():
     units = html.page_units(HTML)
     assert [u["unit_id"] for u in units] == ["html:meta:0", "html:title:1", "html:p:2", "html:p:3", "html:img:4", "html:li:5", "html:li:6"]
